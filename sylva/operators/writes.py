@@ -14,7 +14,6 @@ from sylva.functions.vectors import is_valid
 from sylva.model import ConstraintViolation, InvalidInput
 from sylva.operators.reads import numbered
 
-_NULL = F.lit(None).cast("string")
 
 
 def problems(nodes=None, edges=None, embeddings=None, catalog=None, deletes=None, dimensions: int | None = None) -> DataFrame | None:
@@ -84,7 +83,7 @@ def merge_nodes(nodes: DataFrame, batch: DataFrame) -> DataFrame:
     same = joined.where(~hit).select(*changed.columns)
     fresh = numbered(batch.join(nodes.select("id"), "id", "left_anti"), "pos", top).select(
         F.col("_n").alias("node_key"), "id", "scope_id", "kind", "name", "content",
-        J.folded_patches(_NULL, F.array("attributes")).alias("attributes"),
+        J.folded_patches(F.lit(None).cast("string"), F.array("attributes")).alias("attributes"),
     )
     return same.union(changed).union(fresh)
 
