@@ -415,7 +415,7 @@ SELECT a AS node_key, b AS neighbour, count(*) AS times FROM hop WHERE a IN (SEL
     "traverse_both_2": _levels(Direction.BOTH, "contains", 2, 100_000, _BUSY),
     "traverse_truncated": _levels(Direction.OUT, None, 3, 40),
     "search_exact_topk": _search(10, None),
-    "search_exact_filtered": _search(25, "en"),
+    "search_exact_filtered": _search(25, "class"),
     "search_candidates": f"""WITH {_N}, {_V} SELECT count(*) AS n, CASE WHEN count(*) <= 300 THEN 'exact' ELSE 'approximate' END AS backend
 FROM n JOIN v USING (node_key) WHERE kind = 'class'""",
     "search_ivf_full_probe": _search(10, None),
