@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylva.llm import bpe, leaks
+from sylva.llm import bpe, leaks, similar_text
 from sylva.sources.tables import table
 
 
@@ -15,6 +15,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
+    return table(spark, d, "nodes", "node_key", "name", "content").select(F.col("node_key").alias("key"), text.alias("text"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = similar_text.similar_pairs(_records(spark, d))
+    return pairs.select(F.col("key_a").alias("node_key_a"), F.col("key_b").alias("node_key_b"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return similar_text.similar_groups(_records(spark, d)).withColumnRenamed("key", "node_key")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
@@ -31,5 +45,14 @@ def p7_edited(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_edited)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_ids, p7_found, p7_edited)}
+_SHINGLES = """w AS (SELECT DISTINCT node_key, regexp_extract_all(lower(coalesce(name, '') || ' ' || coalesce(content, '')), '[a-z0-9]+') AS w FROM nodes),
+s AS (SELECT DISTINCT node_key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT node_key, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 12)),
+c AS (SELECT node_key, count(*) AS n FROM s GROUP BY node_key),
+met AS (SELECT x.node_key AS a, y.node_key AS b, count(*) AS n FROM s x JOIN s y ON x.g = y.g AND x.node_key < y.node_key GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM met JOIN c p ON p.node_key = a JOIN c q ON q.node_key = b WHERE 2 * met.n >= p.n + q.n - met.n)"""
+
+ORACLE: dict[str, str] = {
+    "p3_found": f"WITH {_SHINGLES} SELECT a AS node_key_a, b AS node_key_b FROM pairs",
+}
