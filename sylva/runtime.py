@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -53,5 +54,11 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps now rather than when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
