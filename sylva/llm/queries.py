@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylva.llm import bpe, leaks, similar_text
+from sylva.llm import bpe, leaks, posting, similar_text
 from sylva.sources.tables import table
 
 
@@ -29,6 +29,18 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return similar_text.similar_groups(_records(spark, d)).withColumnRenamed("key", "node_key")
 
 
+DIMENSIONS = 64
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "node_vectors", "node_key", "vector").select(F.col("node_key").alias("key"), "vector")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = posting.neighbours(_vectors(spark, d), 5, DIMENSIONS, least=0.9)
+    return near.select(F.least("key", "neighbour").alias("node_key_a"), F.greatest("key", "neighbour").alias("node_key_b")).distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
@@ -45,7 +57,7 @@ def p7_edited(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_ids, p7_found, p7_edited)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p6_ids, p7_found, p7_edited)}
 _SHINGLES = """w AS (SELECT DISTINCT node_key, regexp_extract_all(lower(coalesce(name, '') || ' ' || coalesce(content, '')), '[a-z0-9]+') AS w FROM nodes),
 s AS (SELECT DISTINCT node_key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
   FROM (SELECT node_key, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 12)),
@@ -53,6 +65,15 @@ c AS (SELECT node_key, count(*) AS n FROM s GROUP BY node_key),
 met AS (SELECT x.node_key AS a, y.node_key AS b, count(*) AS n FROM s x JOIN s y ON x.g = y.g AND x.node_key < y.node_key GROUP BY 1, 2),
 pairs AS (SELECT a, b FROM met JOIN c p ON p.node_key = a JOIN c q ON q.node_key = b WHERE 2 * met.n >= p.n + q.n - met.n)"""
 
+_UNIT = """v AS (SELECT node_key, any_value(CAST(vector AS DOUBLE[])) AS v FROM node_vectors WHERE len(vector) = 64
+  AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY node_key),
+u AS (SELECT node_key, CAST(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS DOUBLE[64]) AS v FROM v)"""
+
 ORACLE: dict[str, str] = {
+    "p5_found": f"""WITH {_UNIT},
+near AS (SELECT x.node_key AS a, y.node_key AS b, array_inner_product(x.v, y.v) AS s FROM u x JOIN u y ON x.node_key <> y.node_key
+  WHERE array_inner_product(x.v, y.v) >= 0.9),
+best AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM near)
+SELECT DISTINCT least(a, b) AS node_key_a, greatest(a, b) AS node_key_b FROM best WHERE r <= 5""",
     "p3_found": f"WITH {_SHINGLES} SELECT a AS node_key_a, b AS node_key_b FROM pairs",
 }
