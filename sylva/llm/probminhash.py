@@ -36,10 +36,13 @@ def signatures(owner: np.ndarray, element: np.ndarray, sets: int, m: int, weight
         at = owner * m + ((draw >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         better = np.flatnonzero(time < first[at])
         if len(better):
-            # The earliest arrival of a component is written last, equal times by element.
-            order = better[np.lexsort((seed[better], time[better]))[::-1]]
-            first[at[order]] = time[order]
-            kept[at[order]] = seed[order]
+            # Of equal times the arrival of an earlier turn stays, and within a turn that of the greatest element.
+            spot, when, what = at[better], time[better], seed[better]
+            np.minimum.at(first, spot, when)
+            won = when == first[spot]
+            spot, what = spot[won], what[won]
+            kept[spot] = 0
+            np.maximum.at(kept, spot, what)
         latest = first.reshape(sets, m).max(axis=1)
         on = time < latest[owner]
         owner, seed, time, pace = owner[on], seed[on], time[on], pace[on]

@@ -16,7 +16,6 @@ count once; an empty table gives an empty result; other columns are not read; ti
 
 from __future__ import annotations
 
-import gc
 import re
 
 import numpy as np
@@ -24,10 +23,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from sylva.llm.probminhash import mix, signatures
 from sylva.operators.spanning import spanning_forest
-from sylva.runtime import Scratch
+from sylva.runtime import Scratch, release
 
 HEAVY = 1000
-BANDS, ROWS = 20, 2
+BANDS, ROWS = 28, 3
 #: Band entries of one group.
 GROUP = 300_000
 #: Rows of a block of pairs that a group hands on.
@@ -190,10 +189,12 @@ def similar_classes(records: DataFrame, size: int, least: int, threshold: float)
     scratch = Scratch(spark, "similar")
     sets = scratch.save(prepare(records, size, least), "sets")
     pairs = scratch.save(candidates(sets, sets.count()).distinct(), "pairs")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets go of the bands' shuffle files before sets are moved
+    release(spark)  # lets go of the bands' shuffle files before sets are moved
+    members = scratch.save(sets.select("key", "class").distinct(), "members")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     held = scratch.save(sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")), "held")
+    scratch.drop("sets")
+    release(spark)
     one, two = held.select(F.col("class").alias("a"), F.col("shingles").alias("s")), held.select(F.col("class").alias("b"), F.col("shingles").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
     verified = (
@@ -201,8 +202,9 @@ def similar_classes(records: DataFrame, size: int, least: int, threshold: float)
         .select("a", "b", (shared / (F.size("s") + F.size("t") - shared)).alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )
-    members = sets.select("key", "class").distinct()
-    return scratch.save(members, "members"), scratch.save(verified, "verified")
+    verified = scratch.save(verified, "verified")
+    scratch.drop("held")
+    return members, verified
 
 
 def similar_pairs(records: DataFrame, size: int = 3, least: int = 12, threshold: float = 0.5) -> DataFrame:
