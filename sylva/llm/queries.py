@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylva.llm import bpe, leaks, posting, similar_text
+from sylva.llm import bpe, clusters, leaks, posting, similar_text
 from sylva.sources.tables import table
 
 
@@ -36,6 +36,21 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "node_vectors", "node_key", "vector").select(F.col("node_key").alias("key"), "vector")
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "nodes", "node_key", "kind").where("kind is not null").distinct()
+    return table(spark, d, "node_vectors", "node_key", "vector").join(kinds, "node_key").select(
+        F.col("node_key").alias("key"), F.col("kind").alias("label"), "vector"
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.sets(_labelled(spark, d), DIMENSIONS).withColumnRenamed("key", "node_key")
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.clusters(_labelled(spark, d), DIMENSIONS).withColumnRenamed("key", "node_key")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     near = posting.neighbours(_vectors(spark, d), 5, DIMENSIONS, least=0.9)
     return near.select(F.least("key", "neighbour").alias("node_key_a"), F.greatest("key", "neighbour").alias("node_key_b")).distinct()
@@ -57,7 +72,7 @@ def p7_edited(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p6_ids, p7_found, p7_edited)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_clusters, p5_found, p6_ids, p7_found, p7_edited)}
 _SHINGLES = """w AS (SELECT DISTINCT node_key, regexp_extract_all(lower(coalesce(name, '') || ' ' || coalesce(content, '')), '[a-z0-9]+') AS w FROM nodes),
 s AS (SELECT DISTINCT node_key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
   FROM (SELECT node_key, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 12)),
@@ -70,6 +85,12 @@ _UNIT = """v AS (SELECT node_key, any_value(CAST(vector AS DOUBLE[])) AS v FROM
 u AS (SELECT node_key, CAST(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS DOUBLE[64]) AS v FROM v)"""
 
 ORACLE: dict[str, str] = {
+    "p4_found": f"""WITH RECURSIVE {_UNIT},
+k AS (SELECT DISTINCT node_key, lower(trim(kind)) AS kind FROM nodes WHERE kind IS NOT NULL),
+near AS MATERIALIZED (SELECT x.node_key AS a, y.node_key AS b FROM u x JOIN k p ON p.node_key = x.node_key JOIN k q ON q.kind = p.kind
+  JOIN u y ON y.node_key = q.node_key WHERE array_inner_product(x.v, y.v) >= 0.85),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)
+SELECT min(b) AS cluster_key, a AS node_key FROM reach GROUP BY a HAVING count(*) >= 5""",
     "p5_found": f"""WITH {_UNIT},
 near AS (SELECT x.node_key AS a, y.node_key AS b, array_inner_product(x.v, y.v) AS s FROM u x JOIN u y ON x.node_key <> y.node_key
   WHERE array_inner_product(x.v, y.v) >= 0.9),
