@@ -2,11 +2,13 @@
 
 1. Each record becomes the set of fingerprints of its runs of consecutive words. Records with equal sets are one class
    and travel as one from here on, so that a group of copies, however large, costs as much as a single record.
-2. Shingles that many records share weigh less: one in ``HEAVY`` records or more, by its count in the whole
-   collection. There are at most HEAVY times the mean set size of them, so the table of weights is bounded.
+2. Shingles that many records share weigh less: one in ``HEAVY`` records or more, and at least ``COMMON``, by
+   its count in the whole collection. There are at most HEAVY times the mean set size of them, so the table of weights is bounded.
 3. Signatures are cut into bands; classes that agree on a band are candidates. Band entries travel as packed numbers,
    grouped by a hash of the band, and each group is paired in place.
-4. Candidates are verified on their whole shingle sets with the exact, unweighted similarity.
+4. A sketch of 16 bytes a class, the least shingle in each of 32 bins, drops candidates whose estimated similarity is
+   more than 3.3 standard deviations below the threshold.
+5. The others are verified on their whole shingle sets with the exact, unweighted similarity.
 
 Shingles are 32-bit fingerprints: two shingles of a pair coincide by chance about once in a million pairs.
 
@@ -26,11 +28,14 @@ from sylva.operators.spanning import spanning_forest
 from sylva.runtime import Scratch, release
 
 HEAVY = 1000
-BANDS, ROWS = 28, 3
+BANDS, ROWS = 32, 3
 #: Band entries of one group.
 GROUP = 300_000
-#: Rows of a block of pairs that a group hands on.
-PAIRS = 200_000
+#: A shingle is common from so many records on, whatever the share.
+COMMON = 100
+#: Slots of the filter that keeps sets without candidates from being moved; it has this size however many sets there are.
+SLOTS = 1 << 23
+_BINS = 32
 
 _WORD = re.compile("[a-z0-9]+")
 
@@ -71,8 +76,27 @@ def shingle_sets(texts: list[str], size: int, least: int, hashes: _Hashes) -> tu
     return kept, (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(kept, owner)
 
 
+def sketches(shingle: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """``sets`` x 16 bytes: four bits of the least shingle in each of 32 bins, 0 for an empty bin. Shingles are sorted."""
+    spot = owner * _BINS + (shingle >> np.uint32(27)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]])) if len(spot) else np.zeros(0, np.int64)
+    bins = np.zeros(sets * _BINS, np.uint8)
+    bins[spot[first]] = 1 + (mix(shingle[first].astype(np.uint64)) >> np.uint64(40)) % np.uint64(15)
+    return bins[::2] << 4 | bins[1::2]
+
+
+def alike(one: np.ndarray, two: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether two sketches of each row may belong to sets at or above the threshold."""
+    same = used = 0
+    for shift in (0, 4):
+        a, b = one >> shift & 15, two >> shift & 15
+        same = same + ((a == b) & (a > 0)).sum(1)
+        used = used + ((a > 0) | (b > 0)).sum(1)
+    return same >= threshold * used - 3.3 * np.sqrt(used * threshold * (1 - threshold))
+
+
 def prepare(records: DataFrame, size: int, least: int) -> DataFrame:
-    """``key, class, shingles`` of the records ``key, text`` that have enough words."""
+    """``key, class, shingles, sketch`` of the records ``key, text`` that have enough words."""
 
     def run(batches):
         import pyarrow as pa
@@ -87,9 +111,11 @@ def prepare(records: DataFrame, size: int, least: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int32)))
             keys = batch.column(0).take(pa.array(kept))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(name), lists], ["key", "class", "shingles"])
+            sketch = sketches(shingle, owner, len(kept)).tobytes()
+            sketch = pa.array([sketch[k : k + 16] for k in range(0, len(sketch), 16)], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(name), lists, sketch], ["key", "class", "shingles", "sketch"])
 
-    return records.select("key", "text").mapInArrow(run, "key long, class long, shingles array<int>")
+    return records.select("key", "text").mapInArrow(run, "key long, class long, shingles array<int>, sketch binary")
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +139,7 @@ def heavy_shingles(sets: DataFrame, n: int) -> dict[int, float]:
         yield pa.RecordBatch.from_arrays([pa.array(shingle[often].astype(np.int64)), pa.array(times[often])], ["s", "n"])
 
     counts = sets.select("shingles").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    line = max(2, n / HEAVY)
+    line = max(COMMON, n / HEAVY)
     return {r["s"]: line / r["n"] for r in counts.where(F.col("n") > line).collect()}
 
 
@@ -123,7 +149,7 @@ def candidates(sets: DataFrame, n: int) -> DataFrame:
     keys = np.array(sorted(heavy), np.uint32)
     table = sets.sparkSession.sparkContext.broadcast((keys, np.array([heavy[int(k)] for k in keys], np.float32)))
     groups = max(4, -(-n * BANDS // GROUP))
-    entry = np.dtype([("band", "<u4"), ("class", "<i8")])
+    entry = np.dtype([("band", "u1", 3), ("class", "<i8")])
 
     def bands(batches):
         import pyarrow as pa
@@ -146,7 +172,8 @@ def candidates(sets: DataFrame, n: int) -> DataFrame:
                     for j in range(1, ROWS):
                         key = mix(key + sign[:, k * ROWS + j])
                     rows = np.empty(len(held), entry)
-                    rows["band"], rows["class"] = (key >> np.uint64(32)).astype(np.uint32), held
+                    rows["band"] = (key >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+                    rows["class"] = held
                     places.append((key % np.uint64(groups)).astype(np.int64)), packed.append(rows)
             if not places:
                 continue
@@ -162,9 +189,14 @@ def candidates(sets: DataFrame, n: int) -> DataFrame:
     def pairs(group):
         import pyarrow as pa
 
-        rows = np.unique(np.concatenate([np.frombuffer(x, entry) for x in group.column("rows").to_pylist()]))
-        start = np.flatnonzero(np.concatenate([[True], rows["band"][1:] != rows["band"][:-1]]))
-        size = np.diff(np.append(start, len(rows)))
+        rows = np.concatenate([np.frombuffer(x, entry) for x in group.column("rows").to_pylist()])
+        band = rows["band"].astype(np.uint32) @ np.array([1, 256, 65536], np.uint32)
+        order = np.lexsort((rows["class"], band))
+        band, name = band[order], rows["class"][order]
+        once = np.concatenate([[True], (band[1:] != band[:-1]) | (name[1:] != name[:-1])])
+        band, name = band[once], name[once]
+        start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+        size = np.diff(np.append(start, len(band)))
         a, b = [], []
         # Members of a band are sorted, so that each pairs with those after it, at one distance at a time.
         many = size > 1
@@ -173,7 +205,7 @@ def candidates(sets: DataFrame, n: int) -> DataFrame:
         while len(start):
             reach = size - step
             at = np.repeat(start, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
-            a.append(rows["class"][at]), b.append(rows["class"][at + step])
+            a.append(name[at]), b.append(name[at + step])
             step += 1
             start, size = start[size > step], size[size > step]
         both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
@@ -183,16 +215,55 @@ def candidates(sets: DataFrame, n: int) -> DataFrame:
     return packed.groupBy("g").applyInArrow(pairs, "a long, b long")
 
 
+def _promising(threshold: float):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 16) for k in (2, 3))
+                import pyarrow as pa
+
+                yield batch.select(["a", "b"]).filter(pa.array(alike(one, two, threshold)))
+
+    return run
+
+
+def _listed(wanted: DataFrame):
+    """A filter that passes every row whose class is in ``wanted`` and few others, by a bit table of fixed size."""
+    slot = F.pmod("class", F.lit(SLOTS))
+    bits = wanted.select((slot / 32768).cast("int").alias("b"), slot.alias("v")).groupBy("b").agg(
+        F.bitmap_construct_agg(F.col("v") % 32768).alias("m")
+    )
+    table = np.zeros(SLOTS, bool)
+    for row in bits.collect():
+        table[row["b"] * 32768 : (row["b"] + 1) * 32768] = np.unpackbits(np.frombuffer(row["m"], np.uint8), bitorder="little")
+    shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(known[batch.column(0).to_numpy() % SLOTS]))
+
+    return run
+
+
 def similar_classes(records: DataFrame, size: int, least: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``key, class`` of every record, and ``a, b, similarity`` of every pair of classes at or above the threshold."""
     spark = records.sparkSession
     scratch = Scratch(spark, "similar")
     sets = scratch.save(prepare(records, size, least), "sets")
-    pairs = scratch.save(candidates(sets, sets.count()).distinct(), "pairs")
+    sketch = sets.groupBy("class").agg(F.first("sketch").alias("sketch"))
+    met = candidates(sets, sets.count()).distinct()
+    met = met.join(sketch.select(F.col("class").alias("a"), F.col("sketch").alias("s")), "a")
+    met = met.join(sketch.select(F.col("class").alias("b"), F.col("sketch").alias("t")), "b").select("a", "b", "s", "t")
+    pairs = scratch.save(met.mapInArrow(_promising(threshold), "a long, b long"), "pairs")
+    del met, sketch
     release(spark)  # lets go of the bands' shuffle files before sets are moved
     members = scratch.save(sets.select("key", "class").distinct(), "members")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    held = scratch.save(sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")), "held")
+    near = sets.select("class", "shingles").mapInArrow(_listed(wanted), "class long, shingles array<int>")
+    held = scratch.save(near.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")), "held")
     scratch.drop("sets")
     release(spark)
     one, two = held.select(F.col("class").alias("a"), F.col("shingles").alias("s")), held.select(F.col("class").alias("b"), F.col("shingles").alias("t"))
