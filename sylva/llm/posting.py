@@ -29,9 +29,9 @@ from sylva.operators.centroids import fit_centroids, unit
 #: Vectors of the sample that centroids are fitted on, at most.
 SAMPLE = 40_000
 #: Members of a list, about; members of a group, about; lists, at most.
-LIST, GROUP, MOST = 800, 8_000, 65_536
+LIST, GROUP, MOST = 1_600, 16_000, 65_536
 COPIES, NEAR = 4, 1.10
-PROBES, RATIO = 32, 1.25
+PROBES, RATIO = 32, 1.15
 _BRANCH, _DEGREE, _BEAM = 16, 16, 48
 
 
