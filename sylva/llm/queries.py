@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylva.llm import bpe, clusters, leaks, posting, similar_text
+from sylva.llm import bpe, clusters, leaks, personal, posting, similar_text
 from sylva.sources.tables import table
 
 
@@ -72,7 +72,15 @@ def p7_edited(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_clusters, p5_found, p6_ids, p7_found, p7_edited)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal_values(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "documents", "doc_id", "text"), "a key of this data set")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_clusters, p5_found, p6_ids, p7_found, p7_edited, p8_found, p8_redacted)}
 _SHINGLES = """w AS (SELECT DISTINCT node_key, regexp_extract_all(lower(coalesce(name, '') || ' ' || coalesce(content, '')), '[a-z0-9]+') AS w FROM nodes),
 s AS (SELECT DISTINCT node_key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
   FROM (SELECT node_key, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 12)),
