@@ -12,7 +12,7 @@
 
 Shingles are 32-bit fingerprints: two shingles of a pair coincide by chance about once in a million pairs.
 
-Defined cases: null name or content counts as empty; records with too few words are in no result; redelivered rows
+Defined cases: null name or content counts as empty; records with too few words or without a key are in no result; redelivered rows
 count once; an empty table gives an empty result; other columns are not read; ties do not arise.
 """
 
@@ -115,7 +115,7 @@ def prepare(records: DataFrame, size: int, least: int) -> DataFrame:
             sketch = pa.array([sketch[k : k + 16] for k in range(0, len(sketch), 16)], pa.binary())
             yield pa.RecordBatch.from_arrays([keys, pa.array(name), lists, sketch], ["key", "class", "shingles", "sketch"])
 
-    return records.select("key", "text").mapInArrow(run, "key long, class long, shingles array<int>, sketch binary")
+    return records.where("key is not null").select("key", "text").mapInArrow(run, "key long, class long, shingles array<int>, sketch binary")
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
