@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 
 def is_valid(vector: str, dimensions: int) -> Column:
@@ -28,3 +30,15 @@ def cosine_distance(vector: Column, query: list[float], kind: str = "float") ->
     """``1 - cosine`` by sequential sums in ``kind``; with ``float`` every step is rounded to 32 bits."""
     q = F.array(*[F.lit(float(x)).cast(kind) for x in query])
     return (F.lit(1.0).cast(kind) - (dot(vector, q, kind) / (norm(vector, kind) * norm(q, kind)).cast(kind)).cast(kind)).cast(kind)
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def from_blob(blobs: pd.Series) -> pd.Series:
+    """Little-endian 32-bit floats of a binary column; null where the length is no multiple of four."""
+    return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+
+
+@F.pandas_udf(T.BinaryType())
+def to_blob(vectors: pd.Series) -> pd.Series:
+    """The reverse of ``from_blob``."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())

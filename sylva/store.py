@@ -163,7 +163,7 @@ class Store:
         manifest = self._manifest()
         return manifest, {name: self._table(name, manifest) for name in M.TABLES}
 
-    def _commit(self, manifest: dict, changed: dict[str, DataFrame], bump: bool = True) -> dict:
+    def _commit(self, manifest: dict, changed: dict[str, DataFrame], bump: bool = True, streams: dict[str, int] | None = None) -> dict:
         snapshot = manifest["snapshot"] + 1
         places = dict(manifest["tables"])
         for name, df in changed.items():
@@ -179,6 +179,8 @@ class Store:
             df.write.parquet(os.path.join(self.options.path, at))
             places[name] = at
         new = manifest | {"snapshot": snapshot, "tables": places, "generation": manifest["generation"] + bump}
+        if streams:
+            new["streams"] = manifest.get("streams", {}) | streams
         self._publish(new)
         return new
 
@@ -319,9 +321,16 @@ class Store:
         rows = [(k, *r) for k, r in enumerate(rows)]
         return self.spark.createDataFrame(rows, f"pos long, {schema}") if rows else None
 
+    def stream_position(self, stream: str) -> int:
+        """The last epoch of a stream that is part of the committed state; -1 before the first."""
+        return self._manifest().get("streams", {}).get(stream, -1)
+
     @_writing
-    def apply_batch(self, batch: M.WriteBatch) -> M.CommitReceipt:
-        """Validates, then applies nodes, embeddings, edges, catalog values and catalog deletes as one commit."""
+    def apply_batch(self, batch: M.WriteBatch, streams: dict[str, int] | None = None) -> M.CommitReceipt:
+        """Validates, then applies nodes, embeddings, edges, catalog values and catalog deletes as one commit.
+
+        ``streams`` records epochs of streams in the same commit, so that a repeated epoch can be told.
+        """
         nodes, edges = self._part(batch.nodes, M.NODE_IN), self._part(batch.edges, M.EDGE_IN)
         embeddings = self._part(batch.embeddings, M.EMBEDDING_IN)
         catalog, deletes = self._part(batch.catalog, M.CATALOG_IN), self._part(batch.catalog_deletes, M.CATALOG_KEY_IN)
@@ -350,7 +359,7 @@ class Store:
                 raise M.InvalidInput(f"edge {crossing[0]['id']} crosses scopes")
         if catalog is not None or deletes is not None:
             changed["catalog"] = writes.merge_catalog(t["catalog"], catalog, deletes)
-        new = self._commit(manifest, changed)
+        new = self._commit(manifest, changed, streams=streams)
         keys = None
         if embeddings is not None:
             keys = self._nodes().join(embeddings.select(F.col("node_id").alias("id")), "id", "left_semi").select("node_key")
