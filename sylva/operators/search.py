@@ -69,7 +69,7 @@ def assign_cells(embeddings: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 def ivf_topk(
     nodes: DataFrame, embeddings: DataFrame, cells: DataFrame, centroids: np.ndarray, query: list[float], k: int,
-    where: SearchFilter = SearchFilter(), probes: int = 16, precision: str = "float",
+    where: SearchFilter = SearchFilter(), probes: int = 32, precision: str = "float",
 ) -> DataFrame:
     """The nearest k among the vectors of the ``probes`` cells nearest to the query, filtered before ranking."""
     order = np.argsort(-(centroids @ np.asarray(query, dtype="f4")))[:probes]

@@ -293,7 +293,7 @@ class Store:
 
     # Search
 
-    def search(self, query: list[float], limit: int, where=M.SearchFilter(), backend=M.Backend.ADAPTIVE, probes: int = 16) -> M.SearchResults:
+    def search(self, query: list[float], limit: int, where=M.SearchFilter(), backend=M.Backend.ADAPTIVE, probes: int = 32) -> M.SearchResults:
         vs.check_query(query, self.options.dimensions)
         if limit <= 0:
             raise M.InvalidInput("limit must be positive")
