@@ -45,7 +45,7 @@ _LABEL = (
 )
 _NUMBER = r"(?:\d{3}[ \-]\d{2}[ \-]\d{4}|\d{8}-\d{3}[A-Z0-9]|[A-Z]{2}[ ]?\d\d[ ]?\d\d[ ]?\d\d[ ]?[A-D]|[A-Z]{1,2}\d{6,8}|\d{6}[+\-A]\d{3}[A-Z0-9]|\d{8}[A-Z]|\d{9,11})"
 _LABELLED = re.compile(rf"(?i:{_LABEL})(?:[ ]?[:=#][ ]?|[ ]is[ ]|[ ])({_NUMBER})(?![\w\-])")
-_BEFORE_LABEL = re.compile(rf"(?<![\w\-])({_NUMBER})(?:\t|\\t|[ ]?\|[ ]?|[ ]?[,;][ ]?)(?i:{_LABEL})(?!\w)")
+_BEFORE_LABEL = re.compile(rf"(?<![\w\-])({_NUMBER})(?:[ ]?\t|[ ]?\|[ ]?|[ ]?[,;][ ]?)(?i:{_LABEL})(?!\w)")
 _LABEL_HINTS = ("ssn", "social security", "passport", "reisepass", "personal ", "identity ", "id-nr", "id nr", "national i", "ni number", "tax id", "steuer", "nif", "dni", "nie", "nino", "pasaporte", "passeport")
 _STREETS = r"(?:Street|St|Lane|Ln|Avenue|Ave|Drive|Dr|Road|Rd|Court|Ct|Boulevard|Blvd|Terrace|Square|Close|Crescent|Way|Place)"
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’\-]*"
@@ -95,7 +95,13 @@ def _places(text: str, literal: str):
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
-    """``begin, end, type`` of all personal values, in order and without overlaps."""
+    """``begin, end, type`` of all personal values, in order and without overlaps.
+
+    Escapes of raw JSON are read as the white space and quotes that they stand for; places do not move.
+    """
+    if "\\" in text:
+        for escape, plain in (("\\n", " \n"), ("\\t", " \t"), ("\\r", " \r"), ('\\"', ' "')):
+            text = text.replace(escape, plain)
     found: list[tuple[int, int, str]] = []
     for at in _places(text, "@"):
         local = _EMAIL_LOCAL.search(text, max(0, at - 64), at)
@@ -123,7 +129,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     folded = text.lower()
     if any(hint in folded for hint in _LABEL_HINTS):
         for m in _LABELLED.finditer(text):
-            if m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_") or text[m.start() - 2 : m.start()] in ("\\t", "\\n"):
+            if m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
                 found.append((m.start(1), m.end(1), "id_number"))
         found.extend((m.start(1), m.end(1), "id_number") for m in _BEFORE_LABEL.finditer(text))
     found.extend((m.start(), m.end(), "address") for m in _ADDRESSES.finditer(text))
