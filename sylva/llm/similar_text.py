@@ -253,13 +253,14 @@ def similar_classes(records: DataFrame, size: int, least: int, threshold: float)
     spark = records.sparkSession
     scratch = Scratch(spark, "similar")
     sets = scratch.save(prepare(records, size, least), "sets")
+    met = scratch.save(candidates(sets, sets.count()).distinct(), "met")
+    release(spark)  # lets go of the bands' shuffle files before anything else is moved
     sketch = sets.groupBy("class").agg(F.first("sketch").alias("sketch"))
-    met = candidates(sets, sets.count()).distinct()
     met = met.join(sketch.select(F.col("class").alias("a"), F.col("sketch").alias("s")), "a")
     met = met.join(sketch.select(F.col("class").alias("b"), F.col("sketch").alias("t")), "b").select("a", "b", "s", "t")
     pairs = scratch.save(met.mapInArrow(_promising(threshold), "a long, b long"), "pairs")
     del met, sketch
-    release(spark)  # lets go of the bands' shuffle files before sets are moved
+    release(spark)
     members = scratch.save(sets.select("key", "class").distinct(), "members")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     near = sets.select("class", "shingles").mapInArrow(_listed(wanted), "class long, shingles array<int>")
