@@ -105,4 +105,9 @@ near AS (SELECT x.node_key AS a, y.node_key AS b, array_inner_product(x.v, y.v)
 best AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM near)
 SELECT DISTINCT least(a, b) AS node_key_a, greatest(a, b) AS node_key_b FROM best WHERE r <= 5""",
     "p3_found": f"WITH {_SHINGLES} SELECT a AS node_key_a, b AS node_key_b FROM pairs",
+    "p7_found": r"""WITH runs AS (SELECT item_id, list_aggregate(w[k:k + 9], 'string_agg', ' ') AS g FROM (
+  SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items))),
+texts AS (SELECT doc_id, list_aggregate(w[k:k + 9], 'string_agg', ' ') AS g FROM (
+  SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)))
+SELECT DISTINCT doc_id, item_id FROM texts JOIN runs USING (g)""",
 }
