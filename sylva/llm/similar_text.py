@@ -19,8 +19,10 @@ count once; an empty table gives an empty result; other columns are not read; ti
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sylva.llm.probminhash import mix, signatures
@@ -31,6 +33,8 @@ HEAVY = 1000
 BANDS, ROWS = 32, 3
 #: Band entries of one group.
 GROUP = 300_000
+#: Pairs that a group hands on at once, about.
+PAIRS = 500_000
 #: A shingle is common from so many records on, whatever the share.
 COMMON = 100
 #: Slots of the filter that keeps sets without candidates from being moved; it has this size however many sets there are.
@@ -99,8 +103,6 @@ def prepare(records: DataFrame, size: int, least: int) -> DataFrame:
     """``key, class, shingles, sketch`` of the records ``key, text`` that have enough words."""
 
     def run(batches):
-        import pyarrow as pa
-
         hashes = _Hashes()
         for batch in batches:
             kept, shingle, owner = shingle_sets([t or "" for t in batch.column(1).to_pylist()], size, least, hashes)
@@ -128,8 +130,6 @@ def heavy_shingles(sets: DataFrame, n: int) -> dict[int, float]:
     """Weights below one, of the shingles that one in ``HEAVY`` records has or more."""
 
     def count(batches):
-        import pyarrow as pa
-
         total: list[np.ndarray] = []
         for batch in batches:
             total.append(_lists(batch.column(0))[0])
@@ -152,8 +152,6 @@ def candidates(sets: DataFrame, n: int) -> DataFrame:
     entry = np.dtype([("band", "u1", 3), ("class", "<i8")])
 
     def bands(batches):
-        import pyarrow as pa
-
         known, weights = table.value
         for batch in batches:
             name, first = np.unique(batch.column(0).to_numpy(), return_index=True)
@@ -186,10 +184,8 @@ def candidates(sets: DataFrame, n: int) -> DataFrame:
                 [pa.array(full.astype(np.int32)), pa.array([rows[cut[g] : cut[g + 1]].tobytes() for g in full], pa.binary())], ["g", "rows"]
             )
 
-    def pairs(group):
-        import pyarrow as pa
-
-        rows = np.concatenate([np.frombuffer(x, entry) for x in group.column("rows").to_pylist()])
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([np.frombuffer(x, entry) for batch in batches for x in batch.column("rows").to_pylist()])
         band = rows["band"].astype(np.uint32) @ np.array([1, 256, 65536], np.uint32)
         order = np.lexsort((rows["class"], band))
         band, name = band[order], rows["class"][order]
@@ -197,19 +193,21 @@ def candidates(sets: DataFrame, n: int) -> DataFrame:
         band, name = band[once], name[once]
         start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
         size = np.diff(np.append(start, len(band)))
-        a, b = [], []
-        # Members of a band are sorted, so that each pairs with those after it, at one distance at a time.
+        # Members of a band are sorted, so that each pairs with those after it, at one distance at a time. Pairs go
+        # out as they come, so that a band with very many members takes no more memory than others.
         many = size > 1
-        start, size = start[many], size[many]
-        step = 1
+        start, size, step, held, n = start[many], size[many], 1, [], 0
         while len(start):
             reach = size - step
             at = np.repeat(start, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
-            a.append(name[at]), b.append(name[at + step])
+            held.append(np.stack([name[at], name[at + step]]))
+            n += len(at)
             step += 1
             start, size = start[size > step], size[size > step]
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
-        return pa.Table.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            if n > PAIRS or not len(start):
+                both = np.unique(np.concatenate(held, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                held, n = [], 0
 
     packed = sets.select("class", "shingles").mapInArrow(bands, "g int, rows binary")
     return packed.groupBy("g").applyInArrow(pairs, "a long, b long")
@@ -220,8 +218,6 @@ def _promising(threshold: float):
         for batch in batches:
             if batch.num_rows:
                 one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 16) for k in (2, 3))
-                import pyarrow as pa
-
                 yield batch.select(["a", "b"]).filter(pa.array(alike(one, two, threshold)))
 
     return run
@@ -239,8 +235,6 @@ def _listed(wanted: DataFrame):
     shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def run(batches):
-        import pyarrow as pa
-
         known = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             yield batch.filter(pa.array(known[batch.column(0).to_numpy() % SLOTS]))
