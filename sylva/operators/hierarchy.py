@@ -231,14 +231,52 @@ def hierarchy(node_keys: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def descendants(node_keys: DataFrame, links: DataFrame) -> DataFrame:
-    """``node_key, descendant_key, distance``: all descendants of every node outside cycles, along its tree.
+    """``node_key, descendant_key, distance``: every node that another reaches over links, at the least number of them.
 
-    The distance is the number of links on the descendant's path. Rows come from exploding each node's path, so the
-    cost is the size of the result.
+    Nodes on cycles, and links that touch them, are left out; a node with several parents is below all of them. Pairs
+    of the tree come from exploding each node's path. Links that are not in the tree are few: they are chained among
+    themselves, one from inside another's subtree, and each chain joins the ancestors of its start with the subtree of
+    its end, so the cost is that of the result.
     """
-    tree = hierarchy(node_keys, links).where("status = 'ok' and depth > 0")
-    return tree.select(
-        F.posexplode(F.slice("path", 1, F.col("depth"))).alias("at", "node_key"),
-        F.col("node_key").alias("descendant_key"),
-        "depth",
-    ).select("node_key", "descendant_key", (F.col("depth") - F.col("at")).alias("distance"))
+    spark = links.sparkSession
+    scratch = Scratch(spark, "descendants")
+    links = scratch.save(links.select("parent", "child").where("parent is not null and child is not null").distinct(), "links")
+    cyclic = scratch.save(cycle_members(links).select("node_key"), "cyclic")
+    sound = scratch.save(
+        links.join(cyclic.withColumnRenamed("node_key", "parent"), "parent", "left_anti")
+        .join(cyclic.withColumnRenamed("node_key", "child"), "child", "left_anti")
+        .select("parent", "child"),
+        "sound",
+    )
+    keys = node_keys.select("node_key").distinct().join(cyclic, "node_key", "left_anti")
+    tree = hierarchy(keys, sound).select("node_key", "path", "depth", "parent_key")
+    pairs = scratch.save(
+        tree.select(F.posexplode("path").alias("at", "up"), F.col("node_key").alias("down"), "depth").select(
+            "up", "down", (F.col("depth") - F.col("at")).alias("d")
+        ),
+        "pairs",
+    )
+    first = sound.groupBy("child").agg(F.min("parent").alias("parent"))
+    extra = scratch.save(sound.join(first, ["parent", "child"], "left_anti"), "extra")
+    inside = pairs.where("d > 0").select(F.col("up").alias("node_key"), F.col("down").alias("descendant_key"), F.col("d").alias("distance"))
+    if is_empty(extra):
+        return inside
+    start = extra.select(F.col("parent").alias("q"), F.col("child").alias("v"))
+    # hop: from the end v of one link down its subtree to the start p of another
+    hop = start.select("v").distinct().join(pairs, F.col("v") == F.col("up")).select("v", F.col("down").alias("p"), "d")
+    hop = scratch.save(hop.join(extra.select(F.col("parent").alias("p"), F.col("child").alias("w")), "p"), "hop")
+    best = scratch.save(start.select("q", F.col("v").alias("end"), F.lit(1).alias("cost")), "chains0")
+    front, turn = best, 0
+    while not is_empty(front):
+        turn += 1
+        longer = front.join(hop, front.end == hop.v).select("q", F.col("w").alias("end"), (F.col("cost") + F.col("d") + 1).alias("cost"))
+        longer = longer.groupBy("q", "end").agg(F.min("cost").alias("cost"))
+        known = best.select("q", "end", F.col("cost").alias("old"))
+        front = scratch.save(longer.join(known, ["q", "end"], "left").where("old is null or cost < old").select("q", "end", "cost"), f"front{turn}")
+        best = scratch.save(best.union(front).groupBy("q", "end").agg(F.min("cost").alias("cost")), f"chains{turn}")
+    above = pairs.select(F.col("up").alias("node_key"), F.col("down").alias("q"), F.col("d").alias("d1"))
+    below = pairs.select(F.col("up").alias("end"), F.col("down").alias("descendant_key"), F.col("d").alias("d2"))
+    across = best.join(above, "q").join(below, "end").select(
+        "node_key", "descendant_key", (F.col("d1") + F.col("cost") + F.col("d2")).cast("int").alias("distance")
+    )
+    return inside.union(across).groupBy("node_key", "descendant_key").agg(F.min("distance").alias("distance"))

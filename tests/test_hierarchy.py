@@ -73,8 +73,26 @@ def test_hierarchy_paths(spark):
     assert rows[300].path == [300] and rows[300].parent_key is None
     assert [rows[k].status for k in (200, 201, 202, 203)] == ["cycle", "cycle", "below_cycle", "below_cycle"]
     assert rows[203].path is None
-    below = {(r.node_key, r.descendant_key, r.distance) for r in H.descendants(keys, frame(spark, links)).collect()}
-    assert below == {(a, k, d) for k in range(80) for d, a in enumerate(reversed(rows[k].path)) if d}
+
+
+def test_descendants_over_all_links(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(max(0, k - 6), k), k) for k in range(1, 60)]
+    links += [(rng.randrange(0, 40), rng.randrange(40, 60)) for _ in range(14)] + [(3, 3), (100, 101), (101, 100), (101, 102)]
+    looped = {x for _, x in brute_cycles(links)}
+    sound = [(p, c) for p, c in links if not {p, c} & looped]
+    want = {}
+    for start in range(60):
+        level, d, seen = {start}, 0, set()
+        while level:
+            d += 1
+            level = {c for p, c in sound if p in level} - seen
+            seen |= level
+            want |= {(start, c): d for c in level}
+    keys = spark.createDataFrame([(k,) for k in [*range(60), 100, 101, 102]], "node_key long")
+    rows = H.descendants(keys, frame(spark, links)).collect()
+    assert len(rows) == len(want) and {(r.node_key, r.descendant_key): r.distance for r in rows} == want
+    assert H.descendants(keys, frame(spark, [])).collect() == []
 
 
 def test_links_tidy_relationships(spark):
