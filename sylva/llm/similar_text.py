@@ -2,9 +2,12 @@
 
 1. Each record becomes the set of fingerprints of its runs of consecutive words. Records with equal sets are one class
    and travel as one from here on, so that a group of copies, however large, costs as much as a single record.
-2. Shingles that many records share weigh less: one in ``HEAVY`` records or more, and at least ``COMMON``, by
-   its count in the whole collection. There are at most HEAVY times the mean set size of them, so the table of weights is bounded.
-3. Signatures are cut into bands; classes that agree on a band are candidates. Band entries travel as packed numbers,
+2. Every set has a signature in which all shingles weigh the same, so that a pair is a candidate with the chance that
+   its unweighted similarity gives, however many records share its shingles.
+3. A second signature adds candidates: shingles that many records share weigh less, one in ``HEAVY`` records or more,
+   and at least ``COMMON``, by its count in the whole collection. There are at most HEAVY times the mean set size of
+   them, so the table of weights is bounded. Each kind of signature has a pass of its own.
+   Signatures are cut into bands; classes that agree on a band are candidates. Band entries travel as packed numbers,
    grouped by a hash of the band, and each group is paired in place.
 4. A sketch of 16 bytes a class, the least shingle in each of 32 bins, drops candidates whose estimated similarity is
    more than 3.3 standard deviations below the threshold.
@@ -37,6 +40,8 @@ GROUP = 300_000
 PAIRS = 500_000
 #: A shingle is common from so many records on, whatever the share.
 COMMON = 100
+#: Counters that tell, before any shingle is counted by itself, which shingles may be common; a power of two.
+COUNTERS = 1 << 20
 #: Slots of the filter that keeps sets without candidates from being moved; it has this size however many sets there are.
 SLOTS = 1 << 23
 _BINS = 32
@@ -127,25 +132,37 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def heavy_shingles(sets: DataFrame, n: int) -> dict[int, float]:
-    """Weights below one, of the shingles that one in ``HEAVY`` records has or more."""
+    """Weights below one, of the shingles that one in ``HEAVY`` records has or more.
+
+    Shingles share counters first; those whose counter stays at or below the line are not counted by themselves.
+    """
+    line = max(COMMON, n / HEAVY)
+
+    def share(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(_lists(batch.column(0))[0] & np.uint32(COUNTERS - 1), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["s", "n"])
+
+    shared = sets.select("shingles").mapInArrow(share, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    full = np.zeros(COUNTERS, bool)
+    full[[r["s"] for r in shared.where(F.col("n") > line).collect()]] = True
+    table = sets.sparkSession.sparkContext.broadcast(np.packbits(full))
 
     def count(batches):
-        total: list[np.ndarray] = []
+        open_ = np.unpackbits(table.value).astype(bool)
         for batch in batches:
-            total.append(_lists(batch.column(0))[0])
-        flat = np.concatenate(total) if total else np.zeros(0, np.uint32)
-        shingle, times = np.unique(flat, return_counts=True)
-        often = times > 1
-        yield pa.RecordBatch.from_arrays([pa.array(shingle[often].astype(np.int64)), pa.array(times[often])], ["s", "n"])
+            flat = _lists(batch.column(0))[0]
+            shingle, times = np.unique(flat[open_[flat & np.uint32(COUNTERS - 1)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.astype(np.int64)), pa.array(times)], ["s", "n"])
 
     counts = sets.select("shingles").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    line = max(COMMON, n / HEAVY)
     return {r["s"]: line / r["n"] for r in counts.where(F.col("n") > line).collect()}
 
 
-def candidates(sets: DataFrame, n: int) -> DataFrame:
-    """``a, b`` classes that agree on a band, a < b; a pair may come from several bands."""
-    heavy = heavy_shingles(sets, n)
+def candidates(sets: DataFrame, n: int, heavy: dict[int, float]) -> DataFrame:
+    """``a, b`` classes that agree on a band, a < b; a pair may come from several bands. ``heavy`` has weights below one."""
     keys = np.array(sorted(heavy), np.uint32)
     table = sets.sparkSession.sparkContext.broadcast((keys, np.array([heavy[int(k)] for k in keys], np.float32)))
     groups = max(4, -(-n * BANDS // GROUP))
@@ -247,8 +264,14 @@ def similar_classes(records: DataFrame, size: int, least: int, threshold: float)
     spark = records.sparkSession
     scratch = Scratch(spark, "similar")
     sets = scratch.save(prepare(records, size, least), "sets")
-    met = scratch.save(candidates(sets, sets.count()).distinct(), "met")
+    n = sets.count()
+    met = scratch.save(candidates(sets, n, {}).distinct(), "met")
     release(spark)  # lets go of the bands' shuffle files before anything else is moved
+    heavy = heavy_shingles(sets, n)
+    if heavy:
+        release(spark)
+        met = met.union(scratch.save(candidates(sets, n, heavy).distinct(), "light")).distinct()
+        release(spark)
     sketch = sets.groupBy("class").agg(F.first("sketch").alias("sketch"))
     met = met.join(sketch.select(F.col("class").alias("a"), F.col("sketch").alias("s")), "a")
     met = met.join(sketch.select(F.col("class").alias("b"), F.col("sketch").alias("t")), "b").select("a", "b", "s", "t")

@@ -157,6 +157,28 @@ def test_pairs_and_groups_equal_brute_force(spark):
     assert similar_text.similar_groups(df.limit(0)).collect() == []
 
 
+def test_hot_group_of_edited_copies_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similar_text, "COMMON", 3)
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(100)]
+    rows = []
+    for k in range(150):  # a third of all rows, no two of them equal
+        words = list(base)
+        words[rng.randrange(100)] = f"edit{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(30))) for k in range(300)]
+    want = brute_pairs(rows)
+    assert len(want) == 150 * 149 // 2
+    got = [(r.key_a, r.key_b) for r in similar_text.similar_pairs(spark.createDataFrame(rows, "key long, text string")).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_heavy_shingles_are_counted_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(similar_text, "COMMON", 3)
+    sets = spark.createDataFrame([([7, -9, k + 100],) for k in range(8)] + [([-9],)], "shingles array<int>").repartition(9)
+    assert similar_text.heavy_shingles(sets, 9) == {7: 3 / 8, 2**32 - 9: 3 / 9}
+
+
 # Personal information
 
 
