@@ -166,9 +166,27 @@ def hierarchy(node_keys: DataFrame, links: DataFrame) -> DataFrame:
     """One row per node: ``node_key, parent_key, root_key, depth, path, status``.
 
     A node with several parents hangs under the smallest; ``path`` is the array of keys from the root to the node.
-    ``status`` is ``ok``; ``cycle`` for a node whose chain of parents comes back to itself; ``below_cycle`` for a
-    node whose chain ends in such a cycle. The last two have no root, depth or path.
+    ``status`` is ``cycle`` for a node that reaches itself over any links; of the others, ``below_cycle`` for a node
+    whose chain of smallest parents ends in a cycle, else ``ok``. Where that chain ends in a cycle there is no root,
+    depth or path; a node on a cycle through another parent keeps those of its chain.
     """
+    tree = _paths(node_keys, links)
+    cyclic = cycle_members(links).select("node_key", F.lit(True).alias("cyclic"))
+    return (
+        tree.join(cyclic, "node_key", "left")
+        .select(
+            "node_key",
+            "parent_key",
+            F.when(F.col("path").isNotNull(), F.col("path")[0]).alias("root_key"),
+            F.when(F.col("path").isNotNull(), F.size("path") - 1).alias("depth"),
+            "path",
+            F.when(F.col("cyclic"), "cycle").when(F.col("path").isNotNull(), "ok").otherwise("below_cycle").alias("status"),
+        )
+    )
+
+
+def _paths(node_keys: DataFrame, links: DataFrame) -> DataFrame:
+    """``node_key, parent_key, path`` by smallest parents; no path where the chain of parents ends in a cycle."""
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
     keys = node_keys.select("node_key").where("node_key is not null").distinct()
@@ -212,21 +230,10 @@ def hierarchy(node_keys: DataFrame, links: DataFrame) -> DataFrame:
             F.col("c").alias("node_key"), F.concat("path", "frag").alias("path")
         )
         solved = solved.union(scratch.save(back, f"solved{k}"))
-    cyclic = cycle_members(parent.select(F.col("p").alias("parent"), F.col("c").alias("child"))).select(
-        "node_key", F.lit(True).alias("cyclic")
-    )
     return (
         keys.join(parent.select(F.col("c").alias("node_key"), F.col("p").alias("parent_key")), "node_key", "left")
         .join(solved, "node_key", "left")
-        .join(cyclic, "node_key", "left")
-        .select(
-            "node_key",
-            "parent_key",
-            F.when(F.col("path").isNotNull(), F.col("path")[0]).alias("root_key"),
-            F.when(F.col("path").isNotNull(), F.size("path") - 1).alias("depth"),
-            "path",
-            F.when(F.col("path").isNotNull(), "ok").when(F.col("cyclic"), "cycle").otherwise("below_cycle").alias("status"),
-        )
+        .select("node_key", "parent_key", "path")
     )
 
 

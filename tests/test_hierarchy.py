@@ -95,6 +95,14 @@ def test_descendants_over_all_links(spark):
     assert H.descendants(keys, frame(spark, [])).collect() == []
 
 
+def test_cycle_status_follows_all_links(spark):
+    links = [(1, 2), (2, 5), (5, 6), (6, 5), (6, 7)]  # 5 hangs under 2, and reaches itself through its other parent 6
+    keys = spark.createDataFrame([(k,) for k in (1, 2, 5, 6, 7)], "node_key long")
+    rows = {r.node_key: r for r in H.hierarchy(keys, frame(spark, links)).collect()}
+    assert {k: r.status for k, r in rows.items()} == {1: "ok", 2: "ok", 5: "cycle", 6: "cycle", 7: "ok"}
+    assert rows[5].path == [1, 2, 5] and rows[7].path == [1, 2, 5, 6, 7] and rows[7].depth == 4
+
+
 def test_links_tidy_relationships(spark):
     edges = spark.createDataFrame(
         [(1, 2, " Contains", "x"), (3, 1, "PART_OF ", "x"), (1, 9, "contains", "x"), (None, 2, "contains", "x"), (1, 2, None, "x"), (1, 3, "calls", "x")],
