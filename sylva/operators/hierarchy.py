@@ -240,43 +240,41 @@ def _paths(node_keys: DataFrame, links: DataFrame) -> DataFrame:
 def descendants(node_keys: DataFrame, links: DataFrame) -> DataFrame:
     """``node_key, descendant_key, distance``: every node that another reaches over links, at the least number of them.
 
-    Nodes on cycles, and links that touch them, are left out; a node with several parents is below all of them. Pairs
-    of the tree come from exploding each node's path. Links that are not in the tree are few: they are chained among
-    themselves, one from inside another's subtree, and each chain joins the ancestors of its start with the subtree of
-    its end, so the cost is that of the result.
+    A node with several parents is below all of them; a node on a cycle is below itself, at the length of its shortest
+    cycle. The tree has each acyclic node under its smallest parent, so that cyclic nodes are roots; its pairs come from
+    exploding each node's path. Links that are not in the tree are few: they are chained among themselves, one from
+    inside another's subtree, chains of doubled length in each round, and each chain joins the ancestors of its start
+    with the subtree of its end, so the cost is that of the result.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "descendants")
     links = scratch.save(links.select("parent", "child").where("parent is not null and child is not null").distinct(), "links")
     cyclic = scratch.save(cycle_members(links).select("node_key"), "cyclic")
-    sound = scratch.save(
-        links.join(cyclic.withColumnRenamed("node_key", "parent"), "parent", "left_anti")
-        .join(cyclic.withColumnRenamed("node_key", "child"), "child", "left_anti")
-        .select("parent", "child"),
-        "sound",
-    )
-    keys = node_keys.select("node_key").distinct().join(cyclic, "node_key", "left_anti")
-    tree = hierarchy(keys, sound).select("node_key", "path", "depth", "parent_key")
+    first = links.join(cyclic.withColumnRenamed("node_key", "child"), "child", "left_anti").groupBy("child").agg(F.min("parent").alias("parent"))
+    first = scratch.save(first.select("parent", "child"), "first")
+    ends = links.select(F.col("parent").alias("node_key")).union(links.select("child"))
+    tree = _paths(node_keys.select("node_key").union(ends), first).withColumn("depth", F.size("path") - 1)
     pairs = scratch.save(
         tree.select(F.posexplode("path").alias("at", "up"), F.col("node_key").alias("down"), "depth").select(
             "up", "down", (F.col("depth") - F.col("at")).alias("d")
         ),
         "pairs",
     )
-    first = sound.groupBy("child").agg(F.min("parent").alias("parent"))
-    extra = scratch.save(sound.join(first, ["parent", "child"], "left_anti"), "extra")
+    extra = scratch.save(links.join(first, ["parent", "child"], "left_anti"), "extra")
     inside = pairs.where("d > 0").select(F.col("up").alias("node_key"), F.col("down").alias("descendant_key"), F.col("d").alias("distance"))
     if is_empty(extra):
         return inside
     start = extra.select(F.col("parent").alias("q"), F.col("child").alias("v"))
-    # hop: from the end v of one link down its subtree to the start p of another
-    hop = start.select("v").distinct().join(pairs, F.col("v") == F.col("up")).select("v", F.col("down").alias("p"), "d")
-    hop = scratch.save(hop.join(extra.select(F.col("parent").alias("p"), F.col("child").alias("w")), "p"), "hop")
+    # hop: from the end of one link down its subtree to the start of another
+    hop = start.select(F.col("v").alias("end")).distinct().join(pairs, F.col("end") == F.col("up")).select("end", F.col("down").alias("p"), "d")
+    hop = scratch.save(hop.join(extra.select(F.col("parent").alias("p")).distinct(), "p", "left_semi").select("end", "p", "d"), "hop")
     best = scratch.save(start.select("q", F.col("v").alias("end"), F.lit(1).alias("cost")), "chains0")
     front, turn = best, 0
     while not is_empty(front):
         turn += 1
-        longer = front.join(hop, front.end == hop.v).select("q", F.col("w").alias("end"), (F.col("cost") + F.col("d") + 1).alias("cost"))
+        # Of the two halves of a chain that is still missing at least one came in the last round.
+        longer = _chained(front, hop, best)
+        longer = longer if turn == 1 else longer.union(_chained(best, hop, front))
         longer = longer.groupBy("q", "end").agg(F.min("cost").alias("cost"))
         known = best.select("q", "end", F.col("cost").alias("old"))
         front = scratch.save(longer.join(known, ["q", "end"], "left").where("old is null or cost < old").select("q", "end", "cost"), f"front{turn}")
@@ -287,3 +285,10 @@ def descendants(node_keys: DataFrame, links: DataFrame) -> DataFrame:
         "node_key", "descendant_key", (F.col("d1") + F.col("cost") + F.col("d2")).cast("int").alias("distance")
     )
     return inside.union(across).groupBy("node_key", "descendant_key").agg(F.min("distance").alias("distance"))
+
+
+def _chained(one: DataFrame, hop: DataFrame, two: DataFrame) -> DataFrame:
+    """``q, end, cost`` of the chains that go on from the end of one, down to the start of another."""
+    step = one.join(hop, "end").select(F.col("q").alias("from"), "p", (F.col("cost") + F.col("d")).alias("so_far"))
+    step = step.groupBy("from", "p").agg(F.min("so_far").alias("so_far"))
+    return step.join(two.withColumnRenamed("q", "p"), "p").select(F.col("from").alias("q"), "end", (F.col("so_far") + F.col("cost")).alias("cost"))

@@ -103,6 +103,30 @@ def test_cycle_status_follows_all_links(spark):
     assert rows[5].path == [1, 2, 5] and rows[7].path == [1, 2, 5, 6, 7] and rows[7].depth == 4
 
 
+def brute_distances(links):
+    down, want = {}, {}
+    for p, c in links:
+        down.setdefault(p, set()).add(c)
+    for start in down:
+        level, d, seen = {start}, 0, set()
+        while level:
+            d += 1
+            level = {c for p in level for c in down.get(p, ())} - seen
+            seen |= level
+            want |= {(start, c): d for c in level}
+    return want
+
+
+@pytest.mark.parametrize("name", ["self", "tail", "two cycles sharing a node", "branching core", "random"])
+def test_descendants_through_cycles(spark, name):
+    rng = random.Random(11)
+    links = CASES.get(name) or [(rng.randrange(50), rng.randrange(50)) for _ in range(58)] + [(60, 0), (0, 61), (61, 60)]
+    keys = spark.createDataFrame([(k,) for k in {x for link in links for x in link}], "node_key long")
+    rows = H.descendants(keys, frame(spark, links)).collect()
+    want = brute_distances(links)
+    assert len(rows) == len(want) and {(r.node_key, r.descendant_key): r.distance for r in rows} == want
+
+
 def test_links_tidy_relationships(spark):
     edges = spark.createDataFrame(
         [(1, 2, " Contains", "x"), (3, 1, "PART_OF ", "x"), (1, 9, "contains", "x"), (None, 2, "contains", "x"), (1, 2, None, "x"), (1, 3, "calls", "x")],
