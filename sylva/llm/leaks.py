@@ -114,6 +114,8 @@ class ItemIndex:
             step = self.edits + 1
             low = (p - s) // step
             p, s, band = np.concatenate([p, p]), np.concatenate([s, s]), np.concatenate([low, low - 1])
+        # Items stand one after another in one text, so that neighbouring ones may share a band: each has bands of its own.
+        band = band * len(self.ids) + self.item[s]
         order = np.lexsort((p, band))
         p, s, band = p[order], s[order], band[order]
         if len(p) < self.need:

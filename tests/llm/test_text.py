@@ -96,6 +96,18 @@ def test_leaks_with_edits_and_empty_inputs(spark):
     assert leaks.leaks(docs, items.limit(0)).collect() == [] and leaks.leaks(docs.limit(0), items).collect() == []
 
 
+def test_consecutive_items_with_edits():
+    rng = random.Random(7)
+    items = [(k, " ".join(f"{rng.choice(WORDS)}{rng.randrange(900)}" for _ in range(26))) for k in range(6)]
+    index = leaks.ItemIndex(items, 20, 3)
+    for lead in range(1, 9):
+        pasted = [t if k % 2 else t[:60] + "#" + t[61:] for k, t in items]
+        data = np.frombuffer(b"\n" + leaks.plain("y" * lead + " " + " ".join(pasted)) + b"\n", np.uint8)
+        want = {i for i, t in items if any(
+            leaks.within(t_part.encode(), data.tobytes(), 3, len(data)) for t_part in (" ".join(t.split()[k : k + 20]) for k in range(7)))}
+        assert want == set(range(6)) and {item for _, item, _ in index.found(data)} == want
+
+
 def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(leaks, "ITEM_BLOCK", 100)
     items = [(k, " ".join(random.Random(k).choices(WORDS, k=14))) for k in range(12)]
