@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from decimal import Decimal
@@ -40,32 +41,35 @@ def attribute_equals(document: str, path: str, value) -> Column:
     return F.coalesce(attribute_key(document, path) == key, F.lit(False))
 
 
-_WIDE = "decimal(38,10)"
+def _number_key(value: Column) -> Column:
+    """``n`` and the exact integer where a double is one of 64 bits, else its shortest text: equal numbers, equal keys."""
+    whole = (F.rint(value) == value) & (F.abs(value) < 2.0**63)
+    return F.concat(F.lit("n"), F.when(whole, value.try_cast("long").cast("string")).otherwise(value.cast("string")))
 
 
 def attribute_key(document: str, path: str) -> Column:
-    """The member at ``path`` as one comparable string: ``n`` and a decimal, or ``t`` and text; null if there is none.
+    """The member at ``path`` as one comparable string: ``n`` and a number, or ``t`` and text; null if there is none.
 
     Two members are equal in the sense of ``attribute_equals`` where their keys are, so the key can be stored as a
-    column, sorted by and compared instead of the document.
+    column, sorted by and compared instead of the document. Integers of 64 bits are kept exactly; every other number
+    is a double, however wide or small.
     """
     check_path(path)
     raw = F.get_json_object(document, path)
     tag = F.schema_of_variant(F.try_variant_get(F.try_parse_json(document), path, "variant"))
-    number = (
-        F.when(tag == "BOOLEAN", (raw == "true").cast("int").cast(_WIDE))
-        .when(tag == "BIGINT", raw.cast(_WIDE))
-        .when((tag == "DOUBLE") | tag.startswith("DECIMAL"), raw.cast("double").cast(_WIDE))
+    exact = F.when(tag == "BOOLEAN", F.when(raw == "true", F.lit("1")).otherwise(F.lit("0"))).when(
+        tag == "BIGINT", raw.try_cast("long").cast("string")
     )
-    numeric = tag.isin("BOOLEAN", "BIGINT", "DOUBLE") | tag.startswith("DECIMAL")
-    return F.when(numeric, F.concat(F.lit("n"), number.cast(_WIDE).cast("string"))).when(
-        tag.isNotNull() & (tag != "VOID"), F.concat(F.lit("t"), raw)
+    return (
+        F.when(tag.isin("BOOLEAN", "BIGINT"), F.concat(F.lit("n"), exact))
+        .when((tag == "DOUBLE") | tag.startswith("DECIMAL"), _number_key(raw.try_cast("double")))
+        .when(tag.isNotNull() & (tag != "VOID"), F.concat(F.lit("t"), raw))
     )
 
 
 def key_column(path: str) -> str:
-    """Name of the stored key column of a declared path."""
-    return "attr_" + check_path(path)[2:].replace(".", "__")
+    """Name of the stored key column of a declared path: a hash of the whole path, so that no two paths share one."""
+    return "attr_" + hashlib.sha256(check_path(path).encode()).hexdigest()[:24]
 
 
 def value_key(value) -> Column | None:
@@ -73,8 +77,9 @@ def value_key(value) -> Column | None:
     if value is None:
         return None
     if isinstance(value, (bool, int, float, Decimal)):
-        wanted = str(int(value)) if isinstance(value, bool) else str(value)
-        return F.concat(F.lit("n"), F.lit(wanted).cast(_WIDE).cast("string"))
+        if value == value and abs(value) != float("inf") and value == int(value) and -(2**63) <= value < 2**63:
+            return F.lit(f"n{int(value)}")
+        return _number_key(F.lit(float(value)))
     return F.lit("t" + (value if isinstance(value, str) else canonical(value)))
 
 

@@ -7,6 +7,9 @@ compact, so a key's list comes in chunks of bounded size whose number follows fr
 
 from __future__ import annotations
 
+from decimal import Decimal
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: A chunk of a neighbour list has about this many keys.
@@ -15,48 +18,73 @@ CHUNK = 1024
 HOT_SHARE = 10_000
 
 
-def overfull_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """``key_value``: the keys that hold at least ``share`` of all rows of ``df``; nulls count in the total only."""
-    counts = df.groupBy(F.col(key).alias("key_value")).agg(F.count(F.lit(1)).alias("n"))
+def overfull(counts: DataFrame, share: float) -> DataFrame:
+    """``key_value`` of the keys that hold at least ``share`` of all rows counted in ``key_value, n``; the null key
+    counts in the total only. The comparison is in whole numbers, so that a share of any decimals is exact."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    # n >= share * total, in whole numbers: share has at most four decimals
-    return counts.where(F.col("key_value").isNotNull() & (F.col("n") * 10_000 >= F.lit(round(share * 10_000) * total))).select(
-        "key_value"
-    )
+    part = Fraction(str(share))
+    enough = F.col("n").cast("decimal(38,0)") * F.lit(part.denominator) >= F.lit(Decimal(part.numerator * total))
+    return counts.where(F.col("key_value").isNotNull() & enough).select("key_value")
+
+
+def overfull_keys(df: DataFrame, key: str, share: float) -> DataFrame:
+    """``overfull`` of the rows of one table by one column."""
+    return overfull(df.groupBy(F.col(key).alias("key_value")).agg(F.count(F.lit(1)).alias("n")), share)
 
 
 def edge_state(edges: DataFrame) -> list[Column]:
-    """Aggregates of a compact state: rows, valid weights and their exact sum."""
-    valid = F.col("weight").isNotNull() & ~F.isnan("weight") & (F.abs("weight") < 1e12)
+    """Aggregates of a compact state: rows, valid weights and their sum as a double."""
+    valid = F.col("weight").isNotNull() & ~F.isnan("weight") & (F.abs("weight") != float("inf"))
     return [
         F.count(F.lit(1)).alias("n_edges"),
         F.count(F.when(valid, 1)).alias("n_weights"),
-        F.sum(F.when(valid, F.col("weight").cast("decimal(24,6)"))).alias("weight_sum"),
+        F.sum(F.when(valid, F.col("weight"))).alias("weight_sum"),
     ]
 
 
 def source_stats(edges: DataFrame) -> DataFrame:
-    """``source_key, n_edges, n_weights, weight_sum`` of deduplicated edges; null, NaN and infinite weights are no
-    weights; a key without weights has a null sum."""
+    """``source_key, n_edges, n_weights, weight_sum`` of edges; null, NaN and infinite weights are no weights, all
+    others count, however large or small; a key without weights has a null sum."""
     return edges.where("source_key is not null").groupBy("source_key").agg(*edge_state(edges))
 
 
+def joined_states(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node_key, scope_id, n_edges, n_weights, weight_sum, copies``: the compact states of edges by source and of
+    nodes by key and scope, joined whole.
+
+    Both inputs are pre-aggregated by the join key before anything moves, so that a key with a third of all rows is
+    one row by then. A key without edges has a null ``n_edges``, one without a node null ``copies``; rows without a
+    key keep a row of their own on either side.
+    """
+    states = edges.groupBy(F.col("source_key").alias("node_key")).agg(*edge_state(edges))
+    sides = nodes.groupBy("node_key", "scope_id").agg(F.count(F.lit(1)).alias("copies"))
+    return states.join(sides, "node_key", "full").select("node_key", "scope_id", "n_edges", "n_weights", "weight_sum", "copies")
+
+
+def source_counts(states: DataFrame) -> DataFrame:
+    """``key_value, n``: the edges of each source in joined states, once whatever the number of its nodes' scopes."""
+    return states.where("n_edges is not null").groupBy(F.col("node_key").alias("key_value")).agg(F.max("n_edges").alias("n"))
+
+
+def scope_counts(states: DataFrame) -> DataFrame:
+    """``key_value, n``: the node rows of each scope in joined states."""
+    return states.where("copies is not null").groupBy(F.col("scope_id").alias("key_value")).agg(F.sum("copies").alias("n"))
+
+
 def join_rollup(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``scope_id, n_edges, n_weights, weight_sum`` over edges joined to their source's node, grouped by its scope.
 
-    Both inputs are pre-aggregated by the join key: edges to one state per source, nodes to one multiplicity per key
-    and scope. States join, counts and sums multiply by the multiplicity, and only then is rolled up. Nodes without
+    Joined states multiply: counts and sums by the copies of the node, and only then is rolled up. Nodes without
     a scope roll up under null; edges without a node have no row.
     """
-    states = source_stats(edges).withColumnRenamed("source_key", "node_key")
-    sides = nodes.where("node_key is not null").groupBy("node_key", "scope_id").agg(F.count(F.lit(1)).alias("copies"))
+    both = joined_states(edges.where("source_key is not null"), nodes.where("node_key is not null"))
     return (
-        states.join(sides, "node_key")
+        both.where("n_edges is not null and copies is not null")
         .groupBy("scope_id")
         .agg(
             F.sum(F.col("n_edges") * F.col("copies")).alias("n_edges"),
             F.sum(F.col("n_weights") * F.col("copies")).alias("n_weights"),
-            F.sum(F.col("weight_sum") * F.col("copies")).cast("decimal(34,6)").alias("weight_sum"),
+            F.sum(F.col("weight_sum") * F.col("copies")).alias("weight_sum"),
         )
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sylva.operators import hierarchy as H, skew as S
+from sylva.runtime import Scratch
 from sylva.sources.tables import table
 
 
@@ -40,19 +41,21 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    sources = S.overfull_keys(table(spark, d, "edges", "source_key"), "source_key", 0.02)
-    scopes = S.overfull_keys(table(spark, d, "nodes", "scope_id"), "scope_id", 0.10)
+    """From the joined compact states of the delivered rows, written once and rolled up to either key."""
+    edges, nodes = table(spark, d, "edges", "source_key", "weight"), table(spark, d, "nodes", "node_key", "scope_id")
+    states = Scratch(spark, "states").save(S.joined_states(edges, nodes), "joined")
+    sources, scopes = S.overfull(S.source_counts(states), 0.02), S.overfull(S.scope_counts(states), 0.10)
     return sources.select(F.lit("source_key").alias("field"), "key_value").union(
         scopes.select(F.lit("scope_id").alias("field"), "key_value")
     )
 
 
 def p2_source_stats(spark: SparkSession, d: str) -> DataFrame:
-    return S.source_stats(_edges(spark, d)).withColumn("weight_sum", F.col("weight_sum").cast("double"))
+    return S.source_stats(_edges(spark, d))
 
 
 def p2_scope_stats(spark: SparkSession, d: str) -> DataFrame:
-    return S.join_rollup(_edges(spark, d), _nodes(spark, d)).withColumn("weight_sum", F.col("weight_sum").cast("double"))
+    return S.join_rollup(_edges(spark, d), _nodes(spark, d))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -105,8 +108,7 @@ tree AS (
   FROM tree t JOIN up u ON u.parent = t.node_key)"""
 
 _EDGES = "e AS (SELECT DISTINCT id, source_key, target_key, relationship, weight, written_at FROM edges)"
-_STATE = """count(*) AS n_edges, count(*) FILTER (weight IS NOT NULL AND NOT isnan(weight) AND abs(weight) < 1e12) AS n_weights,
-  CAST(sum(CASE WHEN weight IS NOT NULL AND NOT isnan(weight) AND abs(weight) < 1e12 THEN CAST(weight AS DECIMAL(24,6)) END) AS DOUBLE) AS weight_sum"""
+_STATE = """count(*) AS n_edges, count(*) FILTER (isfinite(weight)) AS n_weights, sum(weight) FILTER (isfinite(weight)) AS weight_sum"""
 
 
 def _chunks(pairs: str, field: str) -> str:

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local folder only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a machine-local folder only in local mode without one (tests)."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="sylva-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -20,6 +20,25 @@ def test_rollup_multiplies_counts(spark):
     assert got == {7: (4, 6.0), None: (1, 5.0)}
 
 
+def test_weights_of_any_size_count(spark):
+    rows = [(1, 2e12), (1, 5.0), (1, 1e-7), (1, float("inf")), (1, float("-inf")), (2, 1e300), (2, -1e300), (3, 2.5e-12)]
+    edges = spark.createDataFrame(rows, "source_key long, weight double")
+    got = {r.source_key: (r.n_edges, r.n_weights, r.weight_sum) for r in S.source_stats(edges).collect()}
+    assert got[1][:2] == (5, 3) and abs(got[1][2] - 2000000000005.0000001) < 1e-3
+    assert got[2] == (2, 2, 0.0) and got[3] == (1, 1, 2.5e-12)
+
+
+def test_states_count_every_row_once(spark):
+    edges = spark.createDataFrame([(1, 1.0)] * 6 + [(2, 1.0)] * 3 + [(None, 1.0)], "source_key long, weight double")
+    nodes = spark.createDataFrame([(1, 7), (1, 8), (1, 8), (3, 7), (None, 7), (4, None)], "node_key long, scope_id long")
+    states = S.joined_states(edges, nodes)
+    assert {tuple(r) for r in S.source_counts(states).collect()} == {(1, 6), (2, 3), (None, 1)}
+    assert {tuple(r) for r in S.scope_counts(states).collect()} == {(7, 3), (8, 2), (None, 1)}
+    assert [r[0] for r in S.overfull(S.source_counts(states), 0.59999).collect()] == [1]
+    assert S.overfull(S.source_counts(states), 0.60001).collect() == []
+    assert S.overfull(S.source_counts(S.joined_states(edges.limit(0), nodes.limit(0))), 0.1).collect() == []
+
+
 def test_lists_are_chunked_and_whole(spark):
     pairs = [(1, k) for k in range(500)] + [(2, k) for k in range(3)] + [(k, 1) for k in range(100, 140)]
     rows = S.neighbour_lists(spark.createDataFrame(pairs, "key_value long, neighbour long"), chunk=50).collect()
