@@ -2,9 +2,10 @@
 
 Both operators alternate raking (leaves, and for cycles also roots, go) with compression (nodes with one parent and
 one child are bypassed, no two neighbours in the same round), write each round's removals, and then read them in
-reverse. The number of rounds is logarithmic in the number of nodes, whatever the depth. Every round is a constant
-number of joins and aggregations on the links that are left; degree counts combine before the shuffle, so a parent
-with a third of all links is no bottleneck.
+reverse. The number of rounds is logarithmic in the number of nodes, whatever the depth, for trees, chains, rings and
+links both ways; only a directed core in which every node branches and which does not shrink by merging takes as many
+rounds as its diameter. Every round is a constant number of joins and aggregations on the links that are left; degree
+counts combine before the shuffle, so a parent with a third of all links is no bottleneck.
 
 Defined cases: null ends and repeated links are dropped; a self-link is a cycle of one; empty inputs give empty
 results; further columns of the inputs are ignored.
@@ -14,8 +15,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from sylva.operators.spanning import spanning_forest
 from sylva.runtime import Scratch, is_empty
 
+#: A core is merged on as long as a round takes at least one in so many of its nodes.
+SHRINK = 16
 _CONTAINS, _PART_OF = "contains", "part_of"
 
 
@@ -61,14 +65,17 @@ def cycle_members(links: DataFrame) -> DataFrame:
     """``cycle_key, node_key``: every node that reaches itself over links, with the smallest key of its cycle group.
 
     A node may have any number of parents. Contraction removes what cannot lie on a cycle and shortens what can; a
-    link that becomes a self-link proves its node cyclic. A core in which every node branches is labelled by
-    colouring. Bypassed nodes then return in reverse: one belongs to its neighbours' group if both have the same.
+    link that becomes a self-link proves its node cyclic. In a core in which every node branches, nodes that are
+    surely in one group become one: those joined by links both ways, or the cycles that appear if every node keeps a
+    single link. Only a core that these hardly shrink is labelled by colouring, whose rounds follow its diameter.
+    Bypassed and merged nodes then return in reverse: a bypassed one belongs to its neighbours' group if both have the
+    same, a merged one to that of the node that it became.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "cycles")
     plain = links.select("parent", "child").where("parent is not null and child is not null").distinct()
     left = scratch.save(plain, "links0")
-    looped, bypassed, core, step = [left], [], None, 0
+    looped, undone, core, step = [left], [], None, 0
     while not is_empty(open_ := left.where("parent <> child")):
         none = F.lit(None).cast("long")
         ends = open_.select(
@@ -79,8 +86,18 @@ def cycle_members(links: DataFrame) -> DataFrame:
         )
         status = scratch.save(degree.where("o = 0 or i = 0 or (o = 1 and i = 1)"), f"status{step}")
         if is_empty(status):
-            core = _colour(open_)
-            break
+            merged = scratch.save(_cores_merged(open_, f"merged{step}"), f"merged{step}")
+            if merged.count() * SHRINK < degree.count():
+                core = _colour(open_)
+                break
+            step += 1
+            to = merged.select(F.col("v").alias("end"), "to")
+            following = open_.join(to.withColumnRenamed("end", "parent"), "parent", "left").select(F.coalesce("to", "parent").alias("parent"), "child")
+            following = following.join(to.withColumnRenamed("end", "child"), "child", "left").select("parent", F.coalesce("to", "child").alias("child"))
+            left = scratch.save(following.distinct(), f"links{step}")
+            looped.append(left)
+            undone.append(("merged", merged))
+            continue
         bypass = _independent(status.where("o = 1 and i = 1").select("v", "prv", "nxt"), step)
         chosen = scratch.save(bypass, f"bypassed{step}")
         gone = status.where("o = 0 or i = 0").select("v", none.alias("to")).union(chosen.select("v", "nxt"))
@@ -94,7 +111,7 @@ def cycle_members(links: DataFrame) -> DataFrame:
         step += 1
         left = scratch.save(following, f"links{step}")
         looped.append(left)
-        bypassed.append(chosen)
+        undone.append(("bypassed", chosen))
 
     labels = None if core is None else scratch.save(core, "core")
     own = looped[0]
@@ -107,17 +124,48 @@ def cycle_members(links: DataFrame) -> DataFrame:
     labels = scratch.save(own if labels is None else labels.union(own), "labels")
     if is_empty(labels):
         return labels.select(F.col("scc").alias("cycle_key"), F.col("v").alias("node_key"))
-    for k in range(len(bypassed) - 1, -1, -1):
-        before = labels.select(F.col("v").alias("prv"), F.col("scc").alias("a"))
-        after = labels.select(F.col("v").alias("nxt"), F.col("scc").alias("b"))
-        back = bypassed[k].join(before, "prv").join(after, "nxt").where("a = b").select("v", F.col("a").alias("scc"))
-        # A bypassed node with a self-link already has a label of its own; its group's label replaces it.
+    for k in range(len(undone) - 1, -1, -1):
+        what, nodes = undone[k]
+        if what == "merged":
+            back = nodes.join(labels.select(F.col("v").alias("to"), "scc"), "to").select("v", "scc")
+        else:
+            before = labels.select(F.col("v").alias("prv"), F.col("scc").alias("a"))
+            after = labels.select(F.col("v").alias("nxt"), F.col("scc").alias("b"))
+            back = nodes.join(before, "prv").join(after, "nxt").where("a = b").select("v", F.col("a").alias("scc"))
+        # A node that returns with a self-link already has a label of its own; its group's label replaces it.
         both = labels.select("v", "scc", F.lit(0).alias("late")).union(back.select("v", "scc", F.lit(1)))
         labels = scratch.save(both.groupBy("v").agg(F.max_by("scc", "late").alias("scc")), f"labels{k}")
+    scratch.keep_only("labels0" if undone else "labels")
     smallest = labels.groupBy("scc").agg(F.min("v").alias("cycle_key"))
     return labels.join(smallest, "scc").select("cycle_key", F.col("v").alias("node_key"))
 
 
+def _cores_merged(links: DataFrame, label: str) -> DataFrame:
+    """``v, to``: nodes of a core, all with links out, that share a cycle with another node and become that one.
+
+    Links both ways are joined into components. Without any, each node keeps one link, chosen by a hash; following
+    it for as many steps as there are nodes, doubled in each round, ends on a cycle, whose smallest key is gathered on
+    the way.
+    """
+    spark = links.sparkSession
+    mutual = links.join(links.select(F.col("child").alias("parent"), F.col("parent").alias("child")), ["parent", "child"], "left_semi")
+    if not is_empty(mutual):
+        labels, _ = spanning_forest(mutual.select(F.col("parent").alias("a"), F.col("child").alias("b"), F.lit(0).alias("w")))
+        return labels.where("node <> component").select(F.col("node").alias("v"), F.col("component").alias("to"))
+    scratch = Scratch(spark, label)
+    kept = F.min_by("child", F.xxhash64("child", F.lit(17))).alias("to")
+    walk = scratch.save(links.groupBy(F.col("parent").alias("v")).agg(kept).withColumn("least", F.least("v", "to")), "walk0")
+    n, steps, k = walk.count(), 1, 0
+    while steps < n:
+        ahead = walk.select(F.col("v").alias("to"), F.col("to").alias("end"), F.col("least").alias("l"))
+        walk = walk.join(ahead, "to").select("v", F.col("end").alias("to"), F.least("least", "l").alias("least"))
+        steps, k = steps * 2, k + 1
+        walk = scratch.save(walk, f"walk{k}")
+        scratch.drop(f"walk{k - 1}")
+    ends = walk.select(F.col("to").alias("v")).distinct()
+    return walk.join(ends, "v", "left_semi").where("v <> least").select("v", F.col("least").alias("to"))
+
+
 def _colour(links: DataFrame) -> DataFrame:
     """``v, scc`` of the cyclic nodes of a core: smallest reaching key forwards, then backwards within one colour."""
     spark = links.sparkSession

@@ -21,14 +21,16 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """One edge per source, relationship and target between existing nodes: the one with the smallest id."""
+    """One edge per source, relationship and target between existing nodes: the one with the smallest id; a weight
+    that is not finite, which no store holds, is null."""
     keys = table(spark, d, "nodes", "node_key").union(table(spark, d, "anchor_nodes", "node_key")).distinct()
     edges = table(spark, d, "edges", "id", "source_key", "target_key", "relationship", "weight", "attributes")
+    finite = ~F.isnan("e.weight") & (F.abs("e.weight") != float("inf"))
     first = edges.groupBy("source_key", "relationship", "target_key").agg(
         F.min(F.struct("id", "weight", "attributes")).alias("e")
     )
     return (
-        first.select("e.id", "source_key", "target_key", "relationship", "e.weight", "e.attributes")
+        first.select("e.id", "source_key", "target_key", "relationship", F.when(finite, F.col("e.weight")).alias("weight"), "e.attributes")
         .join(keys.withColumnRenamed("node_key", "source_key"), "source_key", "left_semi")
         .join(keys.withColumnRenamed("node_key", "target_key"), "target_key", "left_semi")
         .select("id", "source_key", "target_key", "relationship", "weight", "attributes")
@@ -131,7 +133,7 @@ def edges_incident_out(spark, d):
 
 
 def edges_incident_in(spark, d):
-    return reads.get_edges(_edges(spark, d), _nodes(spark, d), _START, Direction.IN)
+    return reads.get_edges(_edges(spark, d), _nodes(spark, d), _most_entered(spark, d), Direction.IN)
 
 
 def edges_incident_both(spark, d):
@@ -151,6 +153,12 @@ def _most_contained(spark: SparkSession, d: str) -> str:
     return sources.join(_nodes(spark, d).select("node_key", "id"), "node_key").orderBy(F.desc("n"), "id").first()["id"]
 
 
+def _most_entered(spark: SparkSession, d: str) -> str:
+    """The node that most edges end at, the smallest id of equals."""
+    targets = _edges(spark, d).groupBy(F.col("target_key").alias("node_key")).agg(F.count(F.lit(1)).alias("n"))
+    return targets.join(_nodes(spark, d).select("node_key", "id"), "node_key").orderBy(F.desc("n"), "id").first()["id"]
+
+
 def _traverse(direction, relationship, hops, results, start=lambda spark, d: _START):
     def run(spark, d):
         found = T.traverse(_nodes(spark, d), _edges(spark, d), start(spark, d), direction, relationship, hops, results)
@@ -224,7 +232,7 @@ def merge_edges(spark, d):
         (F.col("weight") * 2).alias("weight"), F.lit('{"merged":true}').alias("attributes"),
     )
     return W.merge_edges(edges, batch).select(
-        "id", "source_key", "target_key", "relationship", F.when(~F.isnan("weight"), F.col("weight")).alias("weight"),
+        "id", "source_key", "target_key", "relationship", "weight",
         F.coalesce(F.get_json_object("attributes", "$.merged"), F.lit("no")).alias("merged"),
     )
 
@@ -322,7 +330,7 @@ _N = """n AS (SELECT DISTINCT node_key, id, scope_id, kind, name, content, attri
   SELECT node_key, id, scope_id, kind, name, content, attributes FROM nodes
   UNION ALL SELECT node_key, id, scope_id, kind, name, content, attributes FROM anchor_nodes))"""
 _E = """known AS (SELECT node_key FROM nodes UNION SELECT node_key FROM anchor_nodes),
-e AS (SELECT min(id) AS id, source_key, target_key, relationship, arg_min(weight, id) AS weight, arg_min(attributes, id) AS attributes
+e AS (SELECT min(id) AS id, source_key, target_key, relationship, CASE WHEN isfinite(arg_min_null(weight, id)) THEN arg_min_null(weight, id) END AS weight, arg_min_null(attributes, id) AS attributes
   FROM edges WHERE source_key IN (SELECT node_key FROM known) AND target_key IN (SELECT node_key FROM known)
   GROUP BY source_key, relationship, target_key)"""
 _BAD = "len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0"
@@ -405,7 +413,9 @@ ORDER BY name, id LIMIT 500""",
     "node_count": f"WITH {_N} SELECT count(*) AS n FROM n",
     "embedding_count": f"WITH {_V} SELECT count(*) AS n FROM v",
     "edges_incident_out": _incident("e.source_key = k AND e.relationship = 'calls'"),
-    "edges_incident_in": _incident("e.target_key = k"),
+    "edges_incident_in": _incident(
+        "e.target_key = (SELECT target_key FROM e JOIN n ON n.node_key = e.target_key GROUP BY target_key, n.id ORDER BY count(*) DESC, n.id LIMIT 1)"
+    ),
     "edges_incident_both": _incident("(e.source_key = k OR e.target_key = k)"),
     "neighbors_one_hop": f"""WITH {_E}, hop AS (SELECT source_key AS a, target_key AS b FROM e WHERE relationship = 'contains'
   UNION ALL SELECT target_key, source_key FROM e WHERE relationship = 'contains')
@@ -426,7 +436,7 @@ SELECT node_key, n.id, scope_id, CASE WHEN m.id IS NULL THEN kind ELSE 'catalogu
   CASE WHEN m.id IS NOT NULL THEN 'true' END AS reviewed, CAST(NULL AS VARCHAR) AS lang FROM n LEFT JOIN named m ON m.id = n.id
 UNION ALL SELECT (SELECT max(node_key) FROM n) + row_number() OVER (ORDER BY s_suppkey), 'supplier:' || s_suppkey, 1, 'supplier', s_name, 'false', NULL FROM supplier""",
     "merge_edges": f"""WITH {_E} SELECT CASE WHEN relationship = 'calls' THEN 'b' || id ELSE id END AS id, source_key, target_key, relationship,
-  CASE WHEN isnan(weight) THEN NULL WHEN relationship = 'calls' THEN weight * 2 ELSE weight END AS weight,
+  CASE WHEN relationship = 'calls' THEN weight * 2 ELSE weight END AS weight,
   CASE WHEN relationship = 'calls' THEN 'true' ELSE 'no' END AS merged FROM e""",
     "merge_embeddings": f"""WITH {_N}, {_V}, b AS (SELECT node_key, embedding AS vector FROM embeddings JOIN n ON n.node_key = vec_id)
 SELECT node_key, CAST(len(vector) AS INT) AS length, round(CAST(vector[1] AS DOUBLE), 5) AS first FROM (

@@ -127,16 +127,15 @@ reach AS (SELECT parent AS a, child AS b FROM links UNION SELECT r.a, l.child FR
 SELECT x.a AS node_key, min(y.b) AS cycle_key FROM reach x JOIN reach y ON y.a = x.a JOIN reach z ON z.a = y.b AND z.b = x.a
 WHERE x.a = x.b GROUP BY x.a""",
     "p1_hierarchy": f"""{_TREE},
-back AS (SELECT child AS a, parent AS b FROM up WHERE child NOT IN (SELECT node_key FROM tree)
-  UNION SELECT k.a, u.parent FROM back k JOIN up u ON u.child = k.b)
+reach AS (SELECT parent AS a, child AS b FROM links UNION SELECT r.a, l.child FROM reach r JOIN links l ON l.parent = r.b)
 SELECT k.node_key, u.parent AS parent_key, t.root_key, t.depth, t.path,
-  CASE WHEN t.node_key IS NOT NULL THEN 'ok' WHEN k.node_key IN (SELECT a FROM back WHERE a = b) THEN 'cycle' ELSE 'below_cycle' END AS status
+  CASE WHEN k.node_key IN (SELECT a FROM reach WHERE a = b) THEN 'cycle' WHEN t.node_key IS NOT NULL THEN 'ok' ELSE 'below_cycle' END AS status
 FROM known k LEFT JOIN up u ON u.child = k.node_key LEFT JOIN tree t USING (node_key) WHERE k.node_key IS NOT NULL""",
     "p1_descendants": f"""WITH RECURSIVE {_LINKS},
-reach AS (SELECT parent AS a, child AS b FROM links UNION SELECT r.a, l.child FROM reach r JOIN links l ON l.parent = r.b),
-sound AS (SELECT parent, child FROM links WHERE parent NOT IN (SELECT a FROM reach WHERE a = b) AND child NOT IN (SELECT a FROM reach WHERE a = b)),
-walk AS (SELECT parent AS a, child AS b, 1 AS d FROM sound UNION SELECT w.a, l.child, w.d + 1 FROM walk w JOIN sound l ON l.parent = w.b)
-SELECT a AS node_key, b AS descendant_key, CAST(min(d) AS INTEGER) AS distance FROM walk GROUP BY a, b""",
+walk(a, b, d) USING KEY (a, b) AS (SELECT parent, child, 1 FROM links
+  UNION SELECT w.a, l.child, min(w.d) + 1 FROM walk w JOIN links l ON l.parent = w.b
+    LEFT JOIN recurring.walk s ON s.a = w.a AND s.b = l.child WHERE s.a IS NULL GROUP BY w.a, l.child)
+SELECT a AS node_key, b AS descendant_key, CAST(d AS INTEGER) AS distance FROM walk""",
     "p2_found": """SELECT 'source_key' AS field, source_key AS key_value FROM edges WHERE source_key IS NOT NULL
 GROUP BY source_key HAVING count(*) * 50 >= (SELECT count(*) FROM edges)
 UNION ALL SELECT 'scope_id', scope_id FROM nodes WHERE scope_id IS NOT NULL

@@ -33,16 +33,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self.root}/{name}")
+            self.names.discard(name)
+
+    def keep_only(self, *names: str) -> None:
+        """Frees all tables but those that the result still reads."""
+        self.drop(*(self.names - set(names)))
 
     def close(self) -> None:
         try:

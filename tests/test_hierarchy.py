@@ -39,6 +39,10 @@ CASES = {
     "branching core": [(a, b) for a in range(1, 6) for b in range(1, 6) if a != b] + [(5, 6), (6, 7), (7, 6)],
     "long": [(k, k + 1) for k in range(60)] + [(60, 0)],
     "repeated": [(1, 2), (1, 2), (2, 1)],
+    "ring linked both ways": [(k, (k + 1) % 40) for k in range(40)] + [((k + 1) % 40, k) for k in range(40)] + [(7, 50), (50, 51)],
+    "thick ring": [(k, (k + j) % 60) for k in range(60) for j in (1, 2)],
+    "two dense cores": [(a, b) for base in (0, 20) for a in range(base, base + 6) for b in range(base, base + 6) if (b - a) % 6 in (1, 2)] + [(2, 21), (3, 22)],
+    "directed torus": [(6 * r + c, x) for r in range(6) for c in range(6) for x in (6 * r + (c + 1) % 6, 6 * ((r + 1) % 6) + c)],
 }
 
 
@@ -79,16 +83,7 @@ def test_descendants_over_all_links(spark):
     rng = random.Random(8)
     links = [(rng.randrange(max(0, k - 6), k), k) for k in range(1, 60)]
     links += [(rng.randrange(0, 40), rng.randrange(40, 60)) for _ in range(14)] + [(3, 3), (100, 101), (101, 100), (101, 102)]
-    looped = {x for _, x in brute_cycles(links)}
-    sound = [(p, c) for p, c in links if not {p, c} & looped]
-    want = {}
-    for start in range(60):
-        level, d, seen = {start}, 0, set()
-        while level:
-            d += 1
-            level = {c for p, c in sound if p in level} - seen
-            seen |= level
-            want |= {(start, c): d for c in level}
+    want = brute_distances(links)
     keys = spark.createDataFrame([(k,) for k in [*range(60), 100, 101, 102]], "node_key long")
     rows = H.descendants(keys, frame(spark, links)).collect()
     assert len(rows) == len(want) and {(r.node_key, r.descendant_key): r.distance for r in rows} == want
@@ -135,3 +130,10 @@ def test_links_tidy_relationships(spark):
     keys = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "node_key long")
     found = {(r.parent, r.child) for r in H.containment_links(edges, keys).collect()}
     assert found == {(1, 2), (1, 3)}
+
+
+def test_rounds_of_rings_do_not_follow_their_length(spark, monkeypatch):
+    monkeypatch.setattr(H, "_colour", None)  # would be called for a core that merging does not shrink
+    links = [(k, (k + 1) % 300) for k in range(300)] + [((k + 1) % 300, k) for k in range(300)]
+    found = H.cycle_members(frame(spark, links)).collect()
+    assert {(r.cycle_key, r.node_key) for r in found} == {(0, k) for k in range(300)}

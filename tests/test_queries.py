@@ -25,7 +25,7 @@ def rows(columns, data):
 
     def plain(x):
         if x is None or x != x:
-            return None
+            return x if x is None else "NaN"
         return round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) or type(x).__name__ == "Decimal" else str(x)
 
     return sorted(tuple(repr(plain(r[i])) for i in order) for r in data)
