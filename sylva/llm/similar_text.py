@@ -1,19 +1,23 @@
-"""Near-duplicate records: ProbMinHash over weighted word shingles, banding, verification.
-
-1. Each record becomes the set of fingerprints of its runs of consecutive words. Records with equal sets are one class
-   and travel as one from here on, so that a group of copies, however large, costs as much as a single record.
-2. Every set has a signature in which all shingles weigh the same, so that a pair is a candidate with the chance that
-   its unweighted similarity gives, however many records share its shingles.
-3. A second signature adds candidates: shingles that many records share weigh less, one in ``HEAVY`` records or more,
-   and at least ``COMMON``, by its count in the whole collection. There are at most HEAVY times the mean set size of
-   them, so the table of weights is bounded. Each kind of signature has a pass of its own.
-   Signatures are cut into bands; classes that agree on a band are candidates. Band entries travel as packed numbers,
-   grouped by a hash of the band, and each group is paired in place.
-4. A sketch of 16 bytes a class, the least shingle in each of 32 bins, drops candidates whose estimated similarity is
+"""Near-duplicate records: ProbMinHash over word shingles, banding, verification.
+
+1. One pass over the records: each becomes the set of fingerprints of its runs of consecutive words. Records with equal
+   sets are one class, so that a group of copies, however large, costs as much as a single record. The set's signature
+   has ``COMPONENTS`` components of ProbMinHash; the similarity asked for is that of sets, so all shingles weigh the
+   same. Bands of ``ROWS`` components are drawn from them in two ways that share one component at most. A band entry is
+   one packed number, three bytes of the band and five of the class; entries are grouped by a hash of the band. A row's
+   key, class and sketch go the same way, so that no set is written anywhere.
+2. Each group pairs the classes of a band in place. A band with many members hands on pairs of blocks of at most
+   ``BLOCK`` members, which other tasks expand, so that no task emits a hot band's pairs by itself.
+3. A sketch of 32 bytes a class, the least shingle in each of 64 bins, drops candidates whose estimated similarity is
    more than 3.3 standard deviations below the threshold.
-5. The others are verified on their whole shingle sets with the exact, unweighted similarity.
+4. The others are verified on their whole shingle sets, read again from the texts of one record of each class, with the
+   exact similarity.
 
-Shingles are 32-bit fingerprints: two shingles of a pair coincide by chance about once in a million pairs.
+Shingles are 32-bit fingerprints: two shingles of a pair coincide by chance about once in a million pairs. Two classes
+whose five bytes coincide are both looked at.
+
+A pair at similarity 0.5 is a candidate with probability 0.974, at 0.55 with 0.995, at 0.6 with 0.9994, whatever number of
+records share its shingles; the sketch lets 0.999 of those pass.
 
 Defined cases: null name or content counts as empty; records with too few words or without a key are in no result; redelivered rows
 count once; an empty table gives an empty result; other columns are not read; ties do not arise.
@@ -32,19 +36,22 @@ from sylva.llm.probminhash import mix, signatures
 from sylva.operators.spanning import spanning_forest
 from sylva.runtime import Scratch, release
 
-HEAVY = 1000
-BANDS, ROWS = 32, 3
-#: Band entries of one group.
+COMPONENTS, ROWS = 128, 4
+_QUARTER = COMPONENTS // ROWS
+#: Components of each band: runs of neighbours, and runs at distances of a quarter.
+BANDS = [[ROWS * k + j for j in range(ROWS)] for k in range(_QUARTER)] + [[k + _QUARTER * j for j in range(ROWS)] for k in range(_QUARTER)]
+#: Entries of one group, about.
 GROUP = 300_000
 #: Pairs that a group hands on at once, about.
 PAIRS = 500_000
-#: A shingle is common from so many records on, whatever the share.
-COMMON = 100
-#: Counters that tell, before any shingle is counted by itself, which shingles may be common; a power of two.
-COUNTERS = 1 << 20
-#: Slots of the filter that keeps sets without candidates from being moved; it has this size however many sets there are.
+#: A band with more members than this is cut into blocks of so many.
+BLOCK = 1024
+#: Slots of the filter that keeps records without candidates from being read again; its size does not follow theirs.
 SLOTS = 1 << 23
-_BINS = 32
+_BINS = 64
+_SKETCH = _BINS // 2
+#: The low bits of a class that a band entry leaves out.
+_SHORT = 24
 
 _WORD = re.compile("[a-z0-9]+")
 
@@ -86,8 +93,8 @@ def shingle_sets(texts: list[str], size: int, least: int, hashes: _Hashes) -> tu
 
 
 def sketches(shingle: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
-    """``sets`` x 16 bytes: four bits of the least shingle in each of 32 bins, 0 for an empty bin. Shingles are sorted."""
-    spot = owner * _BINS + (shingle >> np.uint32(27)).astype(np.int64)
+    """``sets`` x 32 bytes: four bits of the least shingle in each of 64 bins, 0 for an empty bin. Shingles are sorted."""
+    spot = owner * _BINS + (shingle >> np.uint32(26)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]])) if len(spot) else np.zeros(0, np.int64)
     bins = np.zeros(sets * _BINS, np.uint8)
     bins[spot[first]] = 1 + (mix(shingle[first].astype(np.uint64)) >> np.uint64(40)) % np.uint64(15)
@@ -104,145 +111,149 @@ def alike(one: np.ndarray, two: np.ndarray, threshold: float) -> np.ndarray:
     return same >= threshold * used - 3.3 * np.sqrt(used * threshold * (1 - threshold))
 
 
+def _named(shingle: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """The class of each set: a hash of all its shingles."""
+    sums = np.zeros(sets, np.uint64)
+    np.add.at(sums, owner, mix(shingle.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+    return mix(sums + np.bincount(owner, minlength=sets).astype(np.uint64))
+
+
 def prepare(records: DataFrame, size: int, least: int) -> DataFrame:
-    """``key, class, shingles, sketch`` of the records ``key, text`` that have enough words."""
+    """``class, shingles`` of the records ``key, text`` that have enough words."""
 
     def run(batches):
         hashes = _Hashes()
         for batch in batches:
             kept, shingle, owner = shingle_sets([t or "" for t in batch.column(1).to_pylist()], size, least, hashes)
-            sizes = np.bincount(owner, minlength=len(kept))
-            sums = np.zeros(len(kept), np.uint64)
-            np.add.at(sums, owner, mix(shingle.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
-            name = mix(sums + sizes.astype(np.uint64)).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(kept)))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int32)))
-            keys = batch.column(0).take(pa.array(kept))
-            sketch = sketches(shingle, owner, len(kept)).tobytes()
-            sketch = pa.array([sketch[k : k + 16] for k in range(0, len(sketch), 16)], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(name), lists, sketch], ["key", "class", "shingles", "sketch"])
-
-    return records.where("key is not null").select("key", "text").mapInArrow(run, "key long, class long, shingles array<int>, sketch binary")
-
+            name = _named(shingle, owner, len(kept)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(name), lists], ["class", "shingles"])
 
-def _lists(column) -> tuple[np.ndarray, np.ndarray]:
-    """Flat numbers of an Arrow list column and their owners."""
-    sizes = np.diff(column.offsets.to_numpy())
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.repeat(np.arange(len(column)), sizes)
+    return records.select("key", "text").mapInArrow(run, "class long, shingles array<int>")
 
 
-def heavy_shingles(sets: DataFrame, n: int) -> dict[int, float]:
-    """Weights below one, of the shingles that one in ``HEAVY`` records has or more.
+_FOUND = "kind int, a long, b long, one binary, two binary"
+_MEMBER, _PAIR, _BLOCKS = 0, 1, 2
 
-    Shingles share counters first; those whose counter stays at or below the line are not counted by themselves.
-    """
-    line = max(COMMON, n / HEAVY)
-
-    def share(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            total += np.bincount(_lists(batch.column(0))[0] & np.uint32(COUNTERS - 1), minlength=COUNTERS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["s", "n"])
 
-    shared = sets.select("shingles").mapInArrow(share, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    full = np.zeros(COUNTERS, bool)
-    full[[r["s"] for r in shared.where(F.col("n") > line).collect()]] = True
-    table = sets.sparkSession.sparkContext.broadcast(np.packbits(full))
+def _rows(kind: int, a, b, one=None, two=None) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), none if one is None else one, none if two is None else two],
+        ["kind", "a", "b", "one", "two"],
+    )
 
-    def count(batches):
-        open_ = np.unpackbits(table.value).astype(bool)
-        for batch in batches:
-            flat = _lists(batch.column(0))[0]
-            shingle, times = np.unique(flat[open_[flat & np.uint32(COUNTERS - 1)]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(shingle.astype(np.int64)), pa.array(times)], ["s", "n"])
 
-    counts = sets.select("shingles").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    return {r["s"]: line / r["n"] for r in counts.where(F.col("n") > line).collect()}
+def _binary(data: np.ndarray, width: int) -> pa.Array:
+    raw = data.tobytes()
+    return pa.array([raw[k : k + width] for k in range(0, len(raw), width)], pa.binary())
 
 
-def candidates(sets: DataFrame, n: int, heavy: dict[int, float]) -> DataFrame:
-    """``a, b`` classes that agree on a band, a < b; a pair may come from several bands. ``heavy`` has weights below one."""
-    keys = np.array(sorted(heavy), np.uint32)
-    table = sets.sparkSession.sparkContext.broadcast((keys, np.array([heavy[int(k)] for k in keys], np.float32)))
-    groups = max(4, -(-n * BANDS // GROUP))
-    entry = np.dtype([("band", "u1", 3), ("class", "<i8")])
+def met(records: DataFrame, size: int, least: int) -> DataFrame:
+    """Rows of three kinds: ``key, class, sketch`` of a record; ``a, b``, shortened classes that agree on a band; two
+    blocks of shortened classes of one band, each of the first to be paired with each of the second."""
+    groups = max(4, -(-records.where("key is not null").count() * len(BANDS) // GROUP))
+    columns = np.array(BANDS)
+    member = np.dtype([("key", "<i8"), ("class", "<u8"), ("sketch", "u1", _SKETCH)])
 
     def bands(batches):
-        known, weights = table.value
+        hashes = _Hashes()
         for batch in batches:
-            name, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-            shingle, owner = _lists(batch.column(1).take(pa.array(first)))
-            weight = np.ones(len(shingle), np.float32)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
-                weight = np.where(known[at] == shingle, weights[at], weight)
-            places, packed = [], []
-            for begin in range(0, len(name), 2000):
-                part = (owner >= begin) & (owner < begin + 2000)
-                held = name[begin : begin + 2000]
-                sign = signatures(owner[part] - begin, shingle[part].astype(np.uint64), len(held), BANDS * ROWS, weight[part])
-                for k in range(BANDS):
-                    key = mix(sign[:, k * ROWS] + np.uint64(k))
-                    for j in range(1, ROWS):
-                        key = mix(key + sign[:, k * ROWS + j])
-                    rows = np.empty(len(held), entry)
-                    rows["band"] = (key >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-                    rows["class"] = held
-                    places.append((key % np.uint64(groups)).astype(np.int64)), packed.append(rows)
-            if not places:
+            kept, shingle, owner = shingle_sets([t or "" for t in batch.column(1).to_pylist()], size, least, hashes)
+            if not len(kept):
                 continue
-            place, rows = np.concatenate(places), np.concatenate(packed)
-            order = np.argsort(place, kind="stable")
-            cut = np.searchsorted(place[order], np.arange(groups + 1))
-            rows = rows[order]
-            full = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32)), pa.array([rows[cut[g] : cut[g + 1]].tobytes() for g in full], pa.binary())], ["g", "rows"]
-            )
+            name = _named(shingle, owner, len(kept))
+            held = np.empty(len(kept), member)
+            held["key"], held["class"] = batch.column(0).to_numpy()[kept], name
+            held["sketch"] = sketches(shingle, owner, len(kept)).reshape(-1, _SKETCH)
+            yield from packed(held, (name % np.uint64(groups)).astype(np.int64), groups, groups)
+            for begin in range(0, len(kept), 2000):
+                lo, hi = np.searchsorted(owner, [begin, begin + 2000])
+                part = name[begin : begin + 2000]
+                sign = signatures(owner[lo:hi] - begin, shingle[lo:hi].astype(np.uint64), len(part), COMPONENTS)
+                key = np.zeros((len(part), len(BANDS)), np.uint64) + np.arange(len(BANDS), dtype=np.uint64)
+                for j in range(ROWS):
+                    key = mix(key + sign[:, columns[:, j]])
+                entry = (key >> np.uint64(40) << np.uint64(40)) | (part >> np.uint64(_SHORT))[:, None]
+                place = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(groups)).astype(np.int64)
+                yield from packed(entry.ravel(), place.ravel(), groups, 0)
+
+    def packed(rows, place, count, first):
+        order = np.argsort(place, kind="stable")
+        cut = np.searchsorted(place[order], np.arange(count + 1))
+        rows = rows[order]
+        full = np.flatnonzero(np.diff(cut))
+        binary = pa.array([rows[cut[g] : cut[g + 1]].tobytes() for g in full], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array((full + first).astype(np.int64)), binary], ["g", "rows"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate([np.frombuffer(x, entry) for batch in batches for x in batch.column("rows").to_pylist()])
-        band = rows["band"].astype(np.uint32) @ np.array([1, 256, 65536], np.uint32)
-        order = np.lexsort((rows["class"], band))
-        band, name = band[order], rows["class"][order]
-        once = np.concatenate([[True], (band[1:] != band[:-1]) | (name[1:] != name[:-1])])
-        band, name = band[once], name[once]
-        start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-        size = np.diff(np.append(start, len(band)))
+        parts, group = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                group = batch.column("g")[0].as_py()
+                parts += batch.column("rows").to_pylist()
+        if group >= groups:
+            rows = np.unique(np.frombuffer(b"".join(parts), member)) if parts else np.zeros(0, member)
+            yield _rows(_MEMBER, rows["key"], rows["class"].view(np.int64), _binary(rows["sketch"], _SKETCH))
+            return
+        rows = np.unique(np.frombuffer(b"".join(parts), np.uint64))
+        del parts
+        name = (rows & np.uint64((1 << 40) - 1)).astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], rows[1:] >> np.uint64(40) != rows[:-1] >> np.uint64(40)]))
+        size_ = np.diff(np.append(start, len(rows)))
+        for at, m in zip(start[size_ > BLOCK], size_[size_ > BLOCK]):
+            cuts = [name[at + k : at + min(k + BLOCK, m)].tobytes() for k in range(0, m, BLOCK)]
+            for i, one in enumerate(cuts):
+                for j in range(i, len(cuts), 64):
+                    two = cuts[j : j + 64]
+                    none = np.zeros(len(two), np.int64)
+                    yield _rows(_BLOCKS, none, none, pa.array([one] * len(two), pa.binary()), pa.array(two, pa.binary()))
         # Members of a band are sorted, so that each pairs with those after it, at one distance at a time. Pairs go
-        # out as they come, so that a band with very many members takes no more memory than others.
-        many = size > 1
-        start, size, step, held, n = start[many], size[many], 1, [], 0
+        # out as they come.
+        few = (size_ > 1) & (size_ <= BLOCK)
+        start, size_, step, held, n = start[few], size_[few], 1, [], 0
         while len(start):
-            reach = size - step
+            reach = size_ - step
             at = np.repeat(start, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
             held.append(np.stack([name[at], name[at + step]]))
             n += len(at)
             step += 1
-            start, size = start[size > step], size[size > step]
+            start, size_ = start[size_ > step], size_[size_ > step]
             if n > PAIRS or not len(start):
-                both = np.unique(np.concatenate(held, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                both = np.concatenate(held, axis=1)
+                both = both[:, np.lexsort(both)]
+                both = both[:, np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(0)])] if both.shape[1] else both
+                yield _rows(_PAIR, both[0], both[1])
                 held, n = [], 0
 
-    packed = sets.select("class", "shingles").mapInArrow(bands, "g int, rows binary")
-    return packed.groupBy("g").applyInArrow(pairs, "a long, b long")
+    entries = records.where("key is not null").select("key", "text").mapInArrow(bands, "g long, rows binary")
+    return entries.groupBy("g").applyInArrow(pairs, _FOUND)
+
+
+def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b`` with a < b of all pairs across two blocks."""
+    for batch in batches:
+        for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
+            one, two = np.frombuffer(one, np.int64), np.frombuffer(two, np.int64)
+            a, b = np.repeat(one, len(two)), np.tile(two, len(one))
+            ok = a < b  # members of a band are sorted, so the second block is never before the first
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
 
 def _promising(threshold: float):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 16) for k in (2, 3))
+                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, _SKETCH) for k in (2, 3))
                 yield batch.select(["a", "b"]).filter(pa.array(alike(one, two, threshold)))
 
     return run
 
 
 def _listed(wanted: DataFrame):
-    """A filter that passes every row whose class is in ``wanted`` and few others, by a bit table of fixed size."""
-    slot = F.pmod("class", F.lit(SLOTS))
+    """A filter that passes every row whose key is in ``wanted`` and few others, by a bit table of fixed size."""
+    slot = F.pmod("key", F.lit(SLOTS))
     bits = wanted.select((slot / 32768).cast("int").alias("b"), slot.alias("v")).groupBy("b").agg(
         F.bitmap_construct_agg(F.col("v") % 32768).alias("m")
     )
@@ -263,41 +274,44 @@ def similar_classes(records: DataFrame, size: int, least: int, threshold: float)
     """``key, class`` of every record, and ``a, b, similarity`` of every pair of classes at or above the threshold."""
     spark = records.sparkSession
     scratch = Scratch(spark, "similar")
-    sets = scratch.save(prepare(records, size, least), "sets")
-    n = sets.count()
-    met = scratch.save(candidates(sets, n, {}).distinct(), "met")
+    found = scratch.save(met(records, size, least), "found")
     release(spark)  # lets go of the bands' shuffle files before anything else is moved
-    heavy = heavy_shingles(sets, n)
-    if heavy:
-        release(spark)
-        met = met.union(scratch.save(candidates(sets, n, heavy).distinct(), "light")).distinct()
-        release(spark)
-    sketch = sets.groupBy("class").agg(F.first("sketch").alias("sketch"))
-    met = met.join(sketch.select(F.col("class").alias("a"), F.col("sketch").alias("s")), "a")
-    met = met.join(sketch.select(F.col("class").alias("b"), F.col("sketch").alias("t")), "b").select("a", "b", "s", "t")
-    pairs = scratch.save(met.mapInArrow(_promising(threshold), "a long, b long"), "pairs")
-    del met, sketch
+    members = scratch.save(found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("class"), F.col("one").alias("sketch")), "members")
+    blocks = found.where(F.col("kind") == _BLOCKS).select("one", "two").repartition(spark.sparkContext.defaultParallelism * 4)
+    both = found.where(F.col("kind") == _PAIR).select("a", "b").union(blocks.mapInArrow(_expanded, "a long, b long"))
+    sketch = members.groupBy("class").agg(F.first("sketch").alias("sketch"))
+    short = F.shiftrightunsigned("class", _SHORT)
+    near = both.repartition("a").distinct()
+    near = near.join(sketch.select(short.alias("a"), F.col("class").alias("x"), F.col("sketch").alias("s")), "a")
+    near = near.join(sketch.select(short.alias("b"), F.col("class").alias("y"), F.col("sketch").alias("t")), "b")
+    near = near.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t")
+    pairs = scratch.save(near.mapInArrow(_promising(threshold), "a long, b long"), "pairs")
+    scratch.drop("found")
     release(spark)
-    members = scratch.save(sets.select("key", "class").distinct(), "members")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    near = sets.select("class", "shingles").mapInArrow(_listed(wanted), "class long, shingles array<int>")
-    held = scratch.save(near.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")), "held")
-    scratch.drop("sets")
+    one = scratch.save(members.join(wanted, "class").groupBy("class").agg(F.min("key").alias("key")), "one")
+    again = records.where("key is not null").select("key", "text").mapInArrow(_listed(one), "key long, text string")
+    sets = prepare(again, size, least).join(one.select("class"), "class", "left_semi")
+    held = scratch.save(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "held")
     release(spark)
-    one, two = held.select(F.col("class").alias("a"), F.col("shingles").alias("s")), held.select(F.col("class").alias("b"), F.col("shingles").alias("t"))
+    left, right = held.select(F.col("class").alias("a"), F.col("shingles").alias("s")), held.select(F.col("class").alias("b"), F.col("shingles").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
     verified = (
-        pairs.join(one, "a").join(two, "b")
+        pairs.join(left, "a").join(right, "b")
         .select("a", "b", (shared / (F.size("s") + F.size("t") - shared)).alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )
     verified = scratch.save(verified, "verified")
-    scratch.drop("held")
-    return members, verified
+    scratch.drop("held", "one", "pairs")
+    release(spark)
+    return members.select("key", "class"), verified
 
 
 def similar_pairs(records: DataFrame, size: int = 3, least: int = 12, threshold: float = 0.5) -> DataFrame:
-    """``key_a, key_b`` of all pairs of records at or above the threshold, copies expanded, smaller key first."""
+    """``key_a, key_b`` of all pairs of records at or above the threshold, smaller key first.
+
+    Copies are expanded last, so this costs one row per pair of keys; ``similar_groups`` has one row per record.
+    """
     members, pairs = similar_classes(records, size, least, threshold)
     a, b = members.select(F.col("key").alias("x"), F.col("class").alias("a")), members.select(F.col("key").alias("y"), F.col("class").alias("b"))
     across = pairs.join(a, "a").join(b, "b").select("x", "y")
