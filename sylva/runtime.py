@@ -36,9 +36,11 @@ class Scratch:
         self.names: set[str] = set()
         atexit.register(self.close)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``by`` parts the table by a column's values, so that ``drop(f"{name}/{by}=value")`` frees one of them."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
