@@ -7,6 +7,9 @@
 * A vector is a member of its nearest list and, if it lies near a boundary, of up to ``COPIES`` lists that are hardly
   farther and not behind one another. As a query it probes every list whose distance ratio to the nearest is within
   ``RATIO``, up to ``PROBES``.
+* Beyond some 1e8 vectors the lists outgrow ``LIST``, as there are at most ``MOST``; a dense region may do so at any
+  size. An overfull list is split again in its task, by the same rules and by its own members, so that the work of a
+  vector stays that of a few lists. A task then holds about n / ``MOST`` vectors, 150,000 of 1e10.
 * Equal vectors are one class. Only a class's smallest keys can be among the nearest of anything, so a class with a
   third of all rows stays small.
 
@@ -30,6 +33,8 @@ from sylva.operators.centroids import fit_centroids, unit
 SAMPLE = 40_000
 #: Members of a list, about; members of a group, about; lists, at most.
 LIST, GROUP, MOST = 1_600, 16_000, 65_536
+#: A list with so many times its members is split again where it is searched.
+OVERFULL = 4
 COPIES, NEAR = 4, 1.10
 PROBES, RATIO = 32, 1.15
 _BRANCH, _DEGREE, _BEAM = 16, 16, 48
@@ -237,7 +242,7 @@ class Held:
         return Held(name[first], table.column("label").to_numpy()[first], data, merged, flat(member), flat(probe))
 
     def blocks(self, rows: int = 512):
-        """Queries and members of each list, queries in blocks."""
+        """Queries and members of each list, queries in blocks. An overfull list is split again by its own members."""
         ml, mi = self.member
         pl, pi = self.probe
         mo, po = np.argsort(ml, kind="stable"), np.argsort(pl, kind="stable")
@@ -245,25 +250,42 @@ class Held:
         for one in np.unique(ml):
             m = mi[np.searchsorted(ml, one) : np.searchsorted(ml, one, "right")]
             q = pi[np.searchsorted(pl, one) : np.searchsorted(pl, one, "right")]
-            for lo in range(0, len(q), rows):
-                yield q[lo : lo + rows], m
+            for part_q, part_m in self._parts(q, m) if len(m) > OVERFULL * LIST else [(q, m)]:
+                for lo in range(0, len(part_q), rows):
+                    yield part_q[lo : lo + rows], part_m
+
+    def _parts(self, q: np.ndarray, m: np.ndarray):
+        """Queries and members of the lists that the members of one list make among themselves."""
+        rng = np.random.default_rng(len(m))
+        inner = Lists.fit(self.vectors[np.sort(rng.choice(m, min(SAMPLE, len(m)), replace=False))], len(m))
+        found = []
+        for at, what in ((m, 0), (q, 1)):
+            place, who = [], []
+            for lo in range(0, len(at), 1024):
+                ids, *used = inner.places(self.vectors[at[lo : lo + 1024]])
+                r, c = np.nonzero(used[what])
+                place.append(ids[r, c]), who.append(at[lo + r])
+            place, who = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (place, who))
+            order = np.argsort(place, kind="stable")
+            found.append((place[order], who[order]))
+        (ml, mi), (ql, qi) = found
+        for one in np.unique(ml):
+            yield qi[np.searchsorted(ql, one) : np.searchsorted(ql, one, "right")], mi[np.searchsorted(ml, one) : np.searchsorted(ml, one, "right")]
 
 
-def neighbours(vectors: DataFrame, k: int, dimensions: int, least: float = -1.0) -> DataFrame:
-    """``key, neighbour, cosine``: the k other keys most similar to each key, those below ``least`` left out."""
-    from sylva.runtime import Scratch
-
-    valid = valid_vectors(vectors, dimensions)
-    lists = fit_lists(valid, dimensions)
-    keep = k + 1
+def nearest_keys(valid: DataFrame, lists: Lists, dimensions: int, keep: int, least: float, label: str | None = None) -> DataFrame:
+    """``class, best``: the ``keep`` nearest keys of each class, its own included, as ``d`` (minus the cosine) and
+    ``neighbour``, nearest first; keys of other labels and those below ``least`` are left out."""
 
     def search(table):
         import pyarrow as pa
 
         held = Held.of(table, dimensions, keep)
-        found_q, found_m, found_s = [], [], []
+        found_q, found_m = [], []
         for q, m in held.blocks():
             near = held.vectors[q] @ held.vectors[m].T
+            if label:
+                near[held.label[q][:, None] != held.label[m][None, :]] = -2
             hit = near >= least - 1e-5
             if len(m) > keep:
                 # rows with more hits than wanted keep those not below their keep-th best
@@ -280,7 +302,7 @@ def neighbours(vectors: DataFrame, k: int, dimensions: int, least: float = -1.0)
         q, m = both >> 32, both & 0xFFFFFFFF
         wide = held.vectors.astype(np.float64)
         wide /= np.sqrt((wide**2).sum(1, keepdims=True))
-        cosine = np.concatenate([np.einsum("ij,ij->i", wide[q[a : a + 65536]], wide[m[a : a + 65536]]) for a in range(0, len(q), 65536)])
+        cosine = np.concatenate([np.einsum("ij,ij->i", wide[q[a : a + 65536]], wide[m[a : a + 65536]]) for a in range(0, len(q), 65536)]) if len(q) else np.zeros(0)
         ok = cosine >= least
         q, m, cosine = q[ok], m[ok], cosine[ok]
         size = np.array([len(x) for x in held.keys])
@@ -294,14 +316,24 @@ def neighbours(vectors: DataFrame, k: int, dimensions: int, least: float = -1.0)
         top = rank < keep
         return pa.Table.from_arrays([pa.array(held.name[q[top]]), pa.array(key[top]), pa.array(cosine[top])], ["class", "neighbour", "cosine"])
 
-    scratch = Scratch(vectors.sparkSession, "neighbours")
-    found = place(valid, lists, dimensions, keep).groupBy("g").applyInArrow(search, "class long, neighbour long, cosine double")
-    best = scratch.save(
-        found.groupBy("class").agg(
-            F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("d"), "neighbour"))), 1, keep).alias("best")
-        ),
-        "best",
+    found = grouped(place(valid, lists, dimensions, keep, label), lists).applyInArrow(search, "class long, neighbour long, cosine double")
+    return found.groupBy("class").agg(
+        F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("d"), "neighbour"))), 1, keep).alias("best")
     )
+
+
+def grouped(placed: DataFrame, lists: Lists):
+    """Placed classes by group, spread over twice as many partitions as there are groups, which Spark does not join."""
+    return placed.repartition(2 * (int(lists.group.max()) + 1), "g").groupBy("g")
+
+
+def neighbours(vectors: DataFrame, k: int, dimensions: int, least: float = -1.0) -> DataFrame:
+    """``key, neighbour, cosine``: the k other keys most similar to each key, those below ``least`` left out."""
+    from sylva.runtime import Scratch
+
+    valid = valid_vectors(vectors, dimensions)
+    lists = fit_lists(valid, dimensions)
+    best = Scratch(vectors.sparkSession, "neighbours").save(nearest_keys(valid, lists, dimensions, k + 1, least), "best")
     keys = valid.select("key", F.xxhash64("vector").alias("class")).distinct()
     others = F.filter("best", lambda x: x["neighbour"] != F.col("key"))
     return (
