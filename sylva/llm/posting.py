@@ -159,11 +159,11 @@ def fit_lists(valid: DataFrame, dimensions: int, seed: int = 7) -> Lists:
     return Lists.fit(data, total, seed)
 
 
-def place(valid: DataFrame, lists: Lists, dimensions: int, keep: int, label: str | None = None) -> DataFrame:
-    """``g, class, label, vector, keys, member, probe``: each class of a batch once for each group that it goes to.
+def place(valid: DataFrame, lists: Lists, dimensions: int, keep: int, label: str | None = None, extra: str | None = None) -> DataFrame:
+    """``g, class, label, vector, keys, member, probe, extra``: each class of a batch once for each group that it goes to.
 
     ``keys`` are the ``keep`` smallest keys of the class in the batch; ``member`` and ``probe`` are lists of the group.
-    Vectors of different labels are different classes.
+    Vectors of different labels are different classes. ``extra`` is a number that all rows of a class share.
     """
     shared = valid.sparkSession.sparkContext.broadcast(lists)
 
@@ -178,12 +178,13 @@ def place(valid: DataFrame, lists: Lists, dimensions: int, keep: int, label: str
             raw = np.asarray(batch.column(1).flatten(), "f4").reshape(-1, dimensions)
             name = batch.column(2).to_numpy()
             tag = batch.column(3).to_numpy(zero_copy_only=False) if label else np.zeros(len(keys), np.int64)
+            more = batch.column(4).to_numpy(zero_copy_only=False) if extra else np.zeros(len(keys))
             order = np.lexsort((keys, name))
-            keys, raw, name, tag = keys[order], raw[order], name[order], tag[order]
+            keys, raw, name, tag, more = keys[order], raw[order], name[order], tag[order], more[order]
             start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
             end = np.append(start[1:], len(name))
             few = [np.unique(keys[a:b])[:keep].tobytes() for a, b in zip(start, end)]
-            data, name, tag = unit(raw[start]), name[start], tag[start]
+            data, name, tag, more = unit(raw[start]), name[start], tag[start], more[start]
             out: list[tuple] = []
             for lo in range(0, len(data), 1024):
                 part = data[lo : lo + 1024]
@@ -196,16 +197,16 @@ def place(valid: DataFrame, lists: Lists, dimensions: int, keep: int, label: str
                 cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (g[1:] != g[:-1])]))
                 for a, b in zip(cut, np.append(cut[1:], len(r))):
                     k = lo + r[a]
-                    out.append((int(g[a]), int(name[k]), int(tag[k]), data[k].tobytes(), few[k], l[a:b][m[a:b]].tobytes(), l[a:b][p[a:b]].tobytes()))
+                    out.append((int(g[a]), int(name[k]), int(tag[k]), data[k].tobytes(), few[k], l[a:b][m[a:b]].tobytes(), l[a:b][p[a:b]].tobytes(), float(more[k])))
             cols = list(zip(*out))
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, types)], ["g", "class", "label", "vector", "keys", "member", "probe"]
+                [pa.array(c, t) for c, t in zip(cols, types)], ["g", "class", "label", "vector", "keys", "member", "probe", "extra"]
             )
 
     named = valid.withColumn("class", F.xxhash64("vector", *([label] if label else [])))
-    chosen = named.select("key", "vector", "class", *([label] if label else []))
-    return chosen.mapInArrow(run, "g int, class long, label long, vector binary, keys binary, member binary, probe binary")
+    chosen = named.select("key", "vector", "class", F.col(label) if label else F.lit(0).alias("label"), *([extra] if extra else []))
+    return chosen.mapInArrow(run, "g int, class long, label long, vector binary, keys binary, member binary, probe binary, extra double")
 
 
 @dataclass
