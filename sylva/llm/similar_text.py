@@ -274,9 +274,9 @@ def similar_classes(records: DataFrame, size: int, least: int, threshold: float)
     """``key, class`` of every record, and ``a, b, similarity`` of every pair of classes at or above the threshold."""
     spark = records.sparkSession
     scratch = Scratch(spark, "similar")
-    found = scratch.save(met(records, size, least), "found")
+    found = scratch.save(met(records, size, least), "found", by="kind")
     release(spark)  # lets go of the bands' shuffle files before anything else is moved
-    members = scratch.save(found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("class"), F.col("one").alias("sketch")), "members")
+    members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("class"), F.col("one").alias("sketch"))
     blocks = found.where(F.col("kind") == _BLOCKS).select("one", "two").repartition(spark.sparkContext.defaultParallelism * 4)
     both = found.where(F.col("kind") == _PAIR).select("a", "b").union(blocks.mapInArrow(_expanded, "a long, b long"))
     sketch = members.groupBy("class").agg(F.first("sketch").alias("sketch"))
@@ -286,7 +286,7 @@ def similar_classes(records: DataFrame, size: int, least: int, threshold: float)
     near = near.join(sketch.select(short.alias("b"), F.col("class").alias("y"), F.col("sketch").alias("t")), "b")
     near = near.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t")
     pairs = scratch.save(near.mapInArrow(_promising(threshold), "a long, b long"), "pairs")
-    scratch.drop("found")
+    scratch.drop(f"found/kind={_PAIR}", f"found/kind={_BLOCKS}")
     release(spark)
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     one = scratch.save(members.join(wanted, "class").groupBy("class").agg(F.min("key").alias("key")), "one")
