@@ -168,6 +168,7 @@ def met(records: DataFrame, size: int, least: int) -> DataFrame:
             held["key"], held["class"] = batch.column(0).to_numpy()[kept], name
             held["sketch"] = sketches(shingle, owner, len(kept)).reshape(-1, _SKETCH)
             yield from packed(held, (name % np.uint64(groups)).astype(np.int64), groups, groups)
+            entries = []
             for begin in range(0, len(kept), 2000):
                 lo, hi = np.searchsorted(owner, [begin, begin + 2000])
                 part = name[begin : begin + 2000]
@@ -177,14 +178,19 @@ def met(records: DataFrame, size: int, least: int) -> DataFrame:
                     key = mix(key + sign[:, columns[:, j]])
                 entry = (key >> np.uint64(40) << np.uint64(40)) | (part >> np.uint64(_SHORT))[:, None]
                 place = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(groups)).astype(np.int64)
-                yield from packed(entry.ravel(), place.ravel(), groups, 0)
+                entries.append((entry.ravel(), place.ravel()))
+            entry, place = (np.concatenate(x) for x in zip(*entries))
+            order = np.argsort(entry)
+            yield from packed(entry[order], place[order], groups, 0)
 
     def packed(rows, place, count, first):
         order = np.argsort(place, kind="stable")
         cut = np.searchsorted(place[order], np.arange(count + 1))
         rows = rows[order]
         full = np.flatnonzero(np.diff(cut))
-        binary = pa.array([rows[cut[g] : cut[g + 1]].tobytes() for g in full], pa.binary())
+        # Entries are sorted, so by bytes of equal place they take less room on their way.
+        part = (lambda x: x.view(np.uint8).reshape(-1, 8).T) if rows.dtype == np.uint64 else (lambda x: x)
+        binary = pa.array([part(rows[cut[g] : cut[g + 1]]).tobytes() for g in full], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array((full + first).astype(np.int64)), binary], ["g", "rows"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +203,7 @@ def met(records: DataFrame, size: int, least: int) -> DataFrame:
             rows = np.unique(np.frombuffer(b"".join(parts), member)) if parts else np.zeros(0, member)
             yield _rows(_MEMBER, rows["key"], rows["class"].view(np.int64), _binary(rows["sketch"], _SKETCH))
             return
-        rows = np.unique(np.frombuffer(b"".join(parts), np.uint64))
+        rows = np.unique(np.concatenate([np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel() for x in parts]))
         del parts
         name = (rows & np.uint64((1 << 40) - 1)).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], rows[1:] >> np.uint64(40) != rows[:-1] >> np.uint64(40)]))
