@@ -81,7 +81,7 @@ def test_leaks_equal_brute_force(spark, monkeypatch, piece):
         parts[3:3] = source[at : at + n]
         docs.append((k, rng.choice([" ", "\n", "_", ", "]).join(parts).upper() if k % 3 else "é ".join(parts)))
     index = leaks.ItemIndex([(i, t) for i, t in items if t], 10, 0)
-    found = leaks._pass(spark.createDataFrame(docs, "doc_id long, text string"), index).collect()
+    found = leaks._pass(spark.createDataFrame(docs, "doc_id long, text string"), spark.sparkContext.broadcast(index)).collect()
     assert {(r.doc_id, r.item_id) for r in found} == brute_leaks(docs, items, 10)
     assert len(found) == len({(r.doc_id, r.item_id) for r in found})
 
@@ -96,16 +96,61 @@ def test_leaks_with_edits_and_empty_inputs(spark):
     assert leaks.leaks(docs, items.limit(0)).collect() == [] and leaks.leaks(docs.limit(0), items).collect() == []
 
 
+def near(passage, text, edits):
+    """Whether some part of ``text`` is at most so many edits from ``passage``, character by character."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(passage, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row) <= edits
+
+
 def test_consecutive_items_with_edits():
     rng = random.Random(7)
     items = [(k, " ".join(f"{rng.choice(WORDS)}{rng.randrange(900)}" for _ in range(26))) for k in range(6)]
     index = leaks.ItemIndex(items, 20, 3)
     for lead in range(1, 9):
         pasted = [t if k % 2 else t[:60] + "#" + t[61:] for k, t in items]
-        data = np.frombuffer(b"\n" + leaks.plain("y" * lead + " " + " ".join(pasted)) + b"\n", np.uint8)
-        want = {i for i, t in items if any(
-            leaks.within(t_part.encode(), data.tobytes(), 3, len(data)) for t_part in (" ".join(t.split()[k : k + 20]) for k in range(7)))}
-        assert want == set(range(6)) and {item for _, item, _ in index.found(data)} == want
+        data = leaks.characters("y" * lead + " " + " ".join(pasted))
+        assert {item for _, item, _ in index.found(data)} == set(range(6))
+
+
+@pytest.mark.parametrize("hits", [4_000_000, 40])
+def test_edits_of_characters_equal_brute_force(monkeypatch, hits):
+    monkeypatch.setattr(leaks, "HITS", hits)
+    rng = random.Random(21)
+    letters = {"latin": "forêtmèrénüßcaz", "greek": "αβγδεζηθικλμνξ", "han": "天地玄黃宇宙洪荒日月盈昃", "emoji mix": "aéя漢b"}
+    items, docs = [], []
+    for k, name in enumerate(list(letters) * 2):
+        word = lambda: "".join(rng.choice(letters[name]) for _ in range(rng.randrange(3, 9)))  # noqa: E731, B023
+        items.append((k, " ".join(word() for _ in range(23))))
+    for k in range(40):
+        text = list(items[k % 8][1])
+        for _ in range(k // 8 + rng.randrange(3)):
+            spot = rng.randrange(len(text))
+            text[spot : spot + rng.randrange(2)] = rng.choice(["", "x", "é", "漢"])
+        docs.append("vor " + "".join(text) + " nach")
+    index = leaks.ItemIndex(items, 20, 3)
+    missed = wrong = right = 0
+    for text in docs:
+        tidy = leaks.plain(text).decode()
+        want = {
+            i for i, t in items
+            if (w := leaks.plain(t).decode().split()) and any(near(" ".join(w[k : k + 20]), tidy, 3) for k in range(len(w) - 19))
+        }
+        got = {item for _, item, _ in index.found(np.concatenate([[10], leaks.characters(text), [10]]).astype(np.uint32))}
+        missed, wrong, right = missed + len(want - got), wrong + len(got - want), right + len(want & got)
+    assert right > 20 and not wrong and missed == 0
+
+
+def test_dropped_accents_count_once(spark):
+    passage = " ".join(f"{w}{k}" for k, w in enumerate("la forêt où ma mère a tôt rangé le blé gelé près de la rivière été comme hiver très bien".split()))
+    docs = spark.createDataFrame([(1, passage.replace("forêt", "foret").replace("mère", "mere").replace("tôt", "tot"))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, passage)], "item_id long, item_text string")
+    assert leaks.leaks(docs, items, words=20, edits=3).count() == 1
+    assert leaks.leaks(docs, items, words=20, edits=2).count() == 0
 
 
 def test_item_blocks(spark, monkeypatch):
