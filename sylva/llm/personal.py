@@ -4,10 +4,11 @@ Finding. Cheap literals and digits point to places; patterns decide there. E-mai
 telephone numbers by their international or national form, official numbers only beside their label, addresses by
 their street word, names by what stands around them (a role, a signature, a record, an address or number after them).
 
-Replacing. Each value becomes ``[TYPE:pseudonym]``. The pseudonym of a value with digits keeps its letters, its length
-and its separators; its digits are permuted by a keyed Feistel cipher over numbers of that many digits, months and
-days of dates within their range, so equal values stay linked across documents and different ones stay apart. Names,
-addresses and e-mail addresses get a keyed number in the same way.
+Replacing. Each value becomes ``[TYPE:pseudonym]``. The pseudonym of an official number keeps its letters, its length
+and its separators; its digits are permuted by a keyed Feistel cipher over the numbers of its form, dates over the days
+of their span, so equal values stay linked across documents and different ones stay apart. Of a telephone number the
+last seven digits are permuted. Names, addresses and e-mail addresses get a keyed number of 20 digits. The key is the
+caller's.
 
 Defined cases: null text gives null and no rows; empty and very long texts are read whole; a value that occurs more
 than once in a document gives one row; where two types overlap, the one that begins first stands, then the longer;
@@ -16,6 +17,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
 import re
@@ -31,9 +33,10 @@ _PHONE = (
     r"(?:\+\d{1,3}[ .\-]?(?:\(0\)[ ]?)?\d(?:[ .\-]?\d){6,12}|\(\d{3}\)[ ]?\d{3}[ \-]\d{4}|(?:1-)?\d{3}-\d{3}-\d{4}|(?:1\.)?\d{3}\.\d{3}\.\d{4}"
     r"|00\d{2}[ \-]\d{3,4}[ \-]\d{5,7}|0\d{4}[ ]\d{3}[ ]?\d{3}|0\d{2}[ ]\d{4}[ ]\d{4}|0\d(?:[ ]\d\d){4})"
 )
-_EMAIL_LOCAL = re.compile(r"[^\W_][\w.+\-]*\Z")
+_LOCAL_SIGNS = frozenset("._+-")
 _EMAIL_DOMAIN = re.compile(r"[^\W_](?:[\w\-]*[^\W_])?(?:\.[^\W_](?:[\w\-]*[^\W_])?)*\.[^\W\d_]{2,}")
-_AT, _DOT = r"(?:[ ]?[\[({<]at[\])}>][ ]?|[ ]at[ ])", r"(?:[ ]?[\[({<]dot[\])}>][ ]?|[ ]dot[ ]|\.)"
+_AT, _DOT = r"(?:[ ]?[\[({<][ ]?at[ ]?[\])}>][ ]?|[ ]at[ ])", r"(?:[ ]?[\[({<][ ]?dot[ ]?[\])}>][ ]?|[ ]dot[ ]|\.)"
+_MARKED_AT = re.compile(r"[\[({<][ ]?at[ ]?[\])}>]", re.I)
 _TOKEN = r"[^\W_](?:[\w+\-]*[^\W_])?"
 _SPELT = re.compile(rf"(?<![\w.+\-]){_TOKEN}(?:{_DOT}{_TOKEN})*{_AT}{_TOKEN}(?:{_DOT}{_TOKEN})*{_DOT}[^\W\d_]{{2,}}(?![\w\-])", re.I)
 
@@ -80,6 +83,13 @@ _NAME_RULES = [
     ("-- ", 0, 90, re.compile(rf"-- {_TITLE}({_NAME}), (?=[^,\n]{{1,30}}, {_PHONE})")),
     (" | ", 4, 90, re.compile(rf"\d \| {_TITLE}({_NAME}) \| (?={_PHONE})")),
 ]
+#: Two or three capitalised words, for contexts that say less about what follows.
+_PROPER = rf"{_CAP}(?:[ ][A-ZÀ-ÖØ-Þ]\.)?[ ]{_CAP}(?:[ ]{_CAP})?"
+_NAME_RULES += [
+    (" name is ", 4, 100, re.compile(rf"\b(?i:my|his|her|their) name is {_TITLE}({_PROPER})(?![\w])")),
+    ("ontact ", 1, 110, re.compile(rf"\b[Cc]ontact {_TITLE}({_PROPER})(?= (?:at|on|by|via|under|if)\b)")),
+    ("egards,", 12, 110, re.compile(rf"\b[Rr]egards,\s{{1,3}}({_PROPER})(?=\s*(?:\n|$))")),
+]
 _ROLE = re.compile(rf"\b(?:Author|Owner|Contact|Maintainer|Reviewer|Editor|Instructor|Submitted by|From): {_TITLE}({_NAME}) <")
 #: A title and a name: the title is no part of it.
 _TITLED = re.compile(rf"\b(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Mme|Sra?)\.? ({_NAME})")
@@ -104,34 +114,40 @@ def find(text: str) -> list[tuple[int, int, str]]:
             text = text.replace(escape, plain)
     found: list[tuple[int, int, str]] = []
     for at in _places(text, "@"):
-        local = _EMAIL_LOCAL.search(text, max(0, at - 64), at)
-        domain = _EMAIL_DOMAIN.match(text, at + 1, at + 256) if local else None
+        begin = at
+        while begin and (text[begin - 1].isalnum() or text[begin - 1] in _LOCAL_SIGNS):
+            begin -= 1
+        while begin < at and not text[begin].isalnum():
+            begin += 1
+        domain = _EMAIL_DOMAIN.match(text, at + 1) if begin < at else None
         if domain:
-            found.append((local.start(), domain.end(), "email"))
-    lower = None
-    spelt = {at for mark in ("[at]", "(at)", "{at}", "<at>") for at in _places(text, mark)}
-    if " dot " in text:
-        for at in _places(text, " dot "):
-            near = text.rfind(" at ", max(0, at - 80), at + 1)
-            if near >= 0:
-                spelt.add(near)
-    elif any(x in text for x in (" DOT ", "[AT]", "(AT)", " Dot ", "[At]")):
-        lower = text.lower() if len(text.lower()) == len(text) else text
-        spelt |= {at for mark in ("[at]", "(at)") for at in _places(lower, mark)}
-        spelt |= {n for at in _places(lower, " dot ") if (n := lower.rfind(" at ", max(0, at - 80), at + 1)) >= 0}
+            found.append((begin, domain.end(), "email"))
+    folded = text.lower()
+    same = folded if len(folded) == len(text) else text
+    spelt = {m.start() for m in _MARKED_AT.finditer(text)}
+    for at in _places(same, " dot "):
+        near = same.rfind(" at ", max(0, at - 320), at + 1)
+        if near >= 0:
+            spelt.add(near)
     for at in sorted(spelt):
-        for m in _SPELT.finditer(text, max(0, at - 80), at + 160):
-            if m.start() < at < m.end():
-                found.append((m.start(), m.end(), "email"))
+        reach = 80
+        while True:  # the window grows until the address lies within it
+            low, high = max(0, at - reach), min(len(text), at + 2 * reach)
+            hit = next((m for m in _SPELT.finditer(text, low, high) if m.start() <= at < m.end()), None)
+            inside = hit and (hit.start() > low or not low) and (hit.end() < high or high == len(text))
+            if inside or hit is None and reach > 1000:
                 break
+            reach *= 4
+        if hit:
+            found.append((hit.start(), hit.end(), "email"))
     phones = [(m.start(1), m.end(1)) for m in _PHONES.finditer(text)]
     found.extend((a, b, "phone") for a, b in phones)
-    folded = text.lower()
     if any(hint in folded for hint in _LABEL_HINTS):
         for m in _LABELLED.finditer(text):
             if m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
                 found.append((m.start(1), m.end(1), "id_number"))
         found.extend((m.start(1), m.end(1), "id_number") for m in _BEFORE_LABEL.finditer(text))
+        found = [x for x in found if x[2] != "id_number" or possible(text[x[0] : x[1]])]
     found.extend((m.start(), m.end(), "address") for m in _ADDRESSES.finditer(text))
     if any(hint in text for hint in _CALLE_HINTS):
         found.extend((m.start(), m.end(), "address") for m in _CALLES.finditer(text))
@@ -158,29 +174,44 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
+_NINE = re.compile(r"(\d{3})[ \-](\d{2})[ \-](\d{4})")
+
+
+def possible(value: str) -> bool:
+    """Whether an official number may stand for a person: neither the second nor the third part of a nine-digit one is
+    all zeros. First parts that no office gives out, 000 among them, are what invented persons have, so they count."""
+    m = _NINE.fullmatch(value)
+    return not m or m[2] != "00" and m[3] != "0000"
+
+
 def bare(value: str) -> str:
     """Lower case, letters and digits only."""
     return "".join(c for c in value.lower() if c.isalnum())
 
 
-def personal_values(documents: DataFrame) -> DataFrame:
-    """``doc_id, pii_type, pii_value``: the distinct values of each document, in lower case and without separators."""
+def personal_values(documents: DataFrame, key: str) -> DataFrame:
+    """``doc_id, pii_type, pii_value, pseudonym``: the distinct values of each document, in lower case and without
+    separators, and what stands for each in the redacted text (of spellings of one value the first)."""
 
     def run(batches):
         import pyarrow as pa
 
+        pseudonyms = Pseudonyms(key.encode())
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 if text:
-                    rows += [(doc, k, v) for k, v in {(kind, bare(text[a:b])) for a, b, kind in find(text)}]
-            cols = list(zip(*rows)) or [(), (), ()]
+                    values: dict[tuple[str, str], str] = {}
+                    for a, b, kind in find(text):
+                        values.setdefault((kind, bare(text[a:b])), text[a:b])
+                    rows += [(doc, kind, value, pseudonyms.of(raw, kind)) for (kind, value), raw in values.items()]
+            cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "pii_type", "pii_value"]
+                [pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["doc_id", "pii_type", "pii_value", "pseudonym"]
             )
 
-    return documents.where("text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, pii_type string, pii_value string")
+    return documents.where("text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, pii_type string, pii_value string, pseudonym string")
 
 
 class Pseudonyms:
@@ -210,28 +241,84 @@ class Pseudonyms:
             if value < size:
                 return value
 
+    def within(self, value: int, size: int, tag: str, allowed) -> int:
+        """A permutation of the numbers below ``size`` that ``allowed`` accepts: walked until accepted."""
+        while True:
+            value = self.permute(value, size, tag)
+            if allowed(value):
+                return value
+
+    def number(self, digits: str, tag: str, allowed=lambda x: True) -> str:
+        return f"{self.within(int(digits), 10 ** len(digits), tag, allowed):0{len(digits)}d}" if digits else ""
+
     def digits(self, value: str, tag: str) -> str:
-        """``value`` with its digits permuted; letters and separators stay. A leading date stays a date."""
+        """``value`` with its digits permuted; letters and separators stay, and different values stay different.
+
+        A leading date of eight digits stays a date, of six digits a date too, any other number of that form stays none;
+        a nine-digit official number that is possible stays so; a check letter that was right is right again.
+        """
         spots = [i for i, c in enumerate(value) if c.isascii() and c.isdigit()]
         numbers = "".join(value[i] for i in spots)
-        date = re.match(r"(19|20)(\d\d)(0[1-9]|1[0-2])(0[1-9]|1\d|2[0-8])-", value)
-        if date:
-            day = ((int(date[1]) - 19) * 100 + int(date[2])) * 336 + (int(date[3]) - 1) * 28 + int(date[4]) - 1
-            year, rest = divmod(self.permute(day, 200 * 336, tag + "|date"), 336)
-            tail = numbers[8:]
-            new = f"{1900 + year:04d}{rest // 28 + 1:02d}{rest % 28 + 1:02d}"
-            new += f"{self.permute(int(tail), 10 ** len(tail), tag + '|' + new):0{len(tail)}d}" if tail else ""
+        lead = re.match(r"(\d{8})-\d{3}|(\d{6})[+\-A]\d{3}", value)
+        if lead:
+            form = "%Y%m%d" if lead[1] else "%y%m%d"
+            day = _day(lead[1] or lead[2], form)
+            if day is None:
+                width = len(lead[1] or lead[2])
+                new = self.number(numbers[:width], f"{tag}|no date", lambda x: _day(f"{x:0{width}d}", form) is None)
+            else:
+                first, days = _SPAN[form]
+                new = (first + datetime.timedelta(self.permute((day - first).days, days, f"{tag}|{form}"))).strftime(form)
+            new += self.number(numbers[len(new) :], f"{tag}|{new}")
+        elif _NINE.fullmatch(value):
+            new = self.number(numbers, tag, lambda x: x // 10**4 % 100 and x % 10**4)
         else:
-            new = f"{self.permute(int(numbers), 10 ** len(numbers), tag):0{len(numbers)}d}" if numbers else ""
+            new = self.number(numbers, tag)
         out = list(value)
         for i, c in zip(spots, new):
             out[i] = c
+        for form, letters in _CHECKED:
+            if form.fullmatch(value) and letters[int(numbers) % len(letters)] == value[-1]:
+                out[-1] = letters[int(new) % len(letters)]
+        return "".join(out)
+
+    def phone(self, value: str) -> str:
+        """The last seven digits permuted, whatever stands before them: a number written with its country's code or
+        with a leading zero keeps the same end, and its area stays to be read."""
+        spots = [i for i, c in enumerate(value) if c.isascii() and c.isdigit()][-7:]
+        out = list(value)
+        for i, c in zip(spots, self.number("".join(value[i] for i in spots), "phone")):
+            out[i] = c
         return "".join(out)
 
     def of(self, value: str, kind: str) -> str:
-        if kind in ("phone", "id_number"):
+        """Numbers keep their format; names, addresses and e-mails, which have none, become a keyed number of 20 digits."""
+        if kind == "phone":
+            return self.phone(value)
+        if kind == "id_number":
             return self.digits(value, kind)
-        return f"{self._round(kind, 0, int.from_bytes(hashlib.sha256(bare(value).encode()).digest()[:8], 'big'), 10**10):010d}"
+        return f"{self._round(kind, 0, int.from_bytes(hashlib.sha256(bare(value).encode()).digest()[:16], 'big'), 10**20):020d}"
+
+
+# Fixed check letters of numbers by their remainder: eight digits and a letter; a date, a sign, three digits and a letter.
+_CHECKED = [
+    (re.compile(r"\d{8}[A-Z]"), "TRWAGMYFPDXBNJZSQVHLCKE"),
+    (re.compile(r"\d{6}[+\-A]\d{3}[0-9A-Z]"), "0123456789ABCDEFHJKLMNPRSTUVWXY"),
+]
+_SPAN = {
+    "%Y%m%d": (datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days),
+    "%y%m%d": (datetime.date(1969, 1, 1), (datetime.date(2069, 1, 1) - datetime.date(1969, 1, 1)).days),
+}
+
+
+def _day(digits: str, form: str) -> datetime.date | None:
+    """The day that digits name, if it is one of the span of its form."""
+    try:
+        day = datetime.datetime.strptime(digits, form).date()
+    except ValueError:
+        return None
+    first, days = _SPAN[form]
+    return day if 0 <= (day - first).days < days else None
 
 
 def replaced(text: str, pseudonyms: Pseudonyms) -> str:

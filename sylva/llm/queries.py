@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sylva.llm import bpe, clusters, leaks, personal, posting, similar_text
@@ -72,12 +74,18 @@ def p7_edited(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _key(spark: SparkSession) -> str:
+    """The session's key of pseudonyms; without one a key of this call, so that values stay linked within its result."""
+    return spark.conf.get("spark.sylva.pseudonymKey", None) or secrets.token_hex(16)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal.personal_values(table(spark, d, "documents", "doc_id", "text"))
+    found = personal.personal_values(table(spark, d, "documents", "doc_id", "text"), _key(spark))
+    return found.select("doc_id", "pii_type", "pii_value")
 
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return personal.redacted(table(spark, d, "documents", "doc_id", "text"), "a key of this data set")
+    return personal.redacted(table(spark, d, "documents", "doc_id", "text"), _key(spark))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_clusters, p5_found, p6_ids, p7_found, p7_edited, p8_found, p8_redacted)}
