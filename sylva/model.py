@@ -7,7 +7,7 @@ from enum import Enum
 
 from pyspark.sql import DataFrame, types as T
 
-FORMAT_VERSION = 2
+FORMAT_VERSION = 3
 DEFAULT_EXACT_THRESHOLD = 10_000
 
 NODE = T.StructType(

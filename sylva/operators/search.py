@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,8 +13,8 @@ from sylva.model import InvalidInput, SearchFilter
 from sylva.operators.centroids import fit_centroids
 from sylva.operators.reads import matching
 
-#: The index learns its cells from at most so many vectors.
-FIT_SAMPLE = 20_000
+#: The index learns its cells from so many vectors at least, so many a cell, and so many bytes of them at most.
+FIT_SAMPLE, PER_CELL, FIT_BYTES = 20_000, 16, 1 << 27
 
 
 def check_query(query: list[float], dimensions: int) -> list[float]:
@@ -39,39 +42,56 @@ def exact_topk(
     return scored.orderBy("distance", "id").limit(k)
 
 
-def build_index(embeddings: DataFrame, dimensions: int, seed: int = 7) -> tuple[np.ndarray, DataFrame]:
-    """Centroids and ``node_key, cell`` of every valid non-zero vector.
+def indexable(embeddings: DataFrame, dimensions: int) -> DataFrame:
+    """Valid vectors that are not zero."""
+    return embeddings.where(is_valid("vector", dimensions) & ~is_zero("vector"))
+
+
+def build_index(embeddings: DataFrame, dimensions: int, seed: int = 7) -> tuple[np.ndarray, DataFrame, int]:
+    """Centroids, ``node_key, cell, vector`` of every valid non-zero vector, and the number of these.
 
-    Cells are learnt from a sample of at most ``FIT_SAMPLE`` vectors; all vectors are assigned.
+    There are as many cells as the square root of that number. They are learnt from ``PER_CELL`` vectors each,
+    ``FIT_SAMPLE`` at least, as far as ``FIT_BYTES`` allows; all vectors are assigned.
     """
-    valid = embeddings.where(is_valid("vector", dimensions) & ~is_zero("vector"))
+    valid = indexable(embeddings, dimensions)
     n = valid.count()
-    rows = valid.select("vector").orderBy(F.xxhash64("node_key", F.lit(seed))).limit(FIT_SAMPLE).collect() if n else []
-    data = np.array([r[0] for r in rows], dtype="f4").reshape(len(rows), dimensions)
-    centroids = fit_centroids(data, max(1, int(round(len(rows) ** 0.5))), seed)
-    return centroids, assign_cells(valid, centroids)
+    cells = max(1, int(round(n**0.5)))
+    most = min(max(FIT_SAMPLE, PER_CELL * cells), max(1, FIT_BYTES // (4 * dimensions)))
+    rows = valid.select("vector").orderBy(F.xxhash64("node_key", F.lit(seed))).limit(most).toArrow().column("vector").combine_chunks()
+    data = np.asarray(rows.flatten(), "f4").reshape(-1, dimensions)
+    centroids = fit_centroids(data, max(1, min(cells, len(data) // 4)), seed)
+    return centroids, assign_cells(valid, centroids), n
 
 
 def assign_cells(embeddings: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """``node_key, cell``: the nearest centroid of each vector."""
+    """``node_key, cell, vector``: the nearest centroid of each vector."""
+    shared = embeddings.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches):
         import pyarrow as pa
 
+        centres = shared.value.T
         for batch in batches:
             keys = batch.column(0)
-            data = np.array(batch.column(1).flatten(), dtype="f4").reshape(len(keys), -1)
-            cell = (data @ centroids.T).argmax(1) if len(keys) else np.zeros(0, "i8")
-            yield pa.RecordBatch.from_arrays([keys, pa.array(cell, pa.int32())], ["node_key", "cell"])
+            data = np.asarray(batch.column(1).flatten(), dtype="f4").reshape(len(keys), -1)
+            cell = [(data[at : at + 4096] @ centres).argmax(1) for at in range(0, len(keys), 4096)]
+            cell = np.concatenate(cell) if cell else np.zeros(0, "i8")
+            yield pa.RecordBatch.from_arrays([keys, pa.array(cell, pa.int32()), batch.column(1)], ["node_key", "cell", "vector"])
 
-    return embeddings.select("node_key", "vector").mapInArrow(run, "node_key long, cell int")
+    return embeddings.select("node_key", "vector").mapInArrow(run, "node_key long, cell int, vector array<float>")
 
 
 def ivf_topk(
-    nodes: DataFrame, embeddings: DataFrame, cells: DataFrame, centroids: np.ndarray, query: list[float], k: int,
+    nodes: DataFrame, cells: DataFrame, centroids: np.ndarray, query: list[float], k: int,
     where: SearchFilter = SearchFilter(), probes: int = 32, precision: str = "float",
 ) -> DataFrame:
-    """The nearest k among the vectors of the ``probes`` cells nearest to the query, filtered before ranking."""
+    """The nearest k among the vectors of the ``probes`` cells nearest to the query, filtered before ranking.
+
+    ``cells`` holds the vectors sorted by cell, and each probe is an equality that reaches the scan, so that only these
+    cells are read.
+    """
     order = np.argsort(-(centroids @ np.asarray(query, dtype="f4")))[:probes]
-    near = cells.where(F.col("cell").isin([int(c) for c in order])).select("node_key")
-    return exact_topk(nodes, embeddings.join(near, "node_key", "left_semi"), query, k, where, precision)
+    if len(order) == len(centroids):
+        return exact_topk(nodes, cells, query, k, where, precision)
+    probed = reduce(operator.or_, [F.col("cell") == int(c) for c in order])
+    return exact_topk(nodes, cells.where(probed), query, k, where, precision)

@@ -66,12 +66,14 @@ def validate(**parts) -> None:
         raise InvalidInput(first[0]["detail"])
 
 
-def merge_nodes(nodes: DataFrame, batch: DataFrame) -> DataFrame:
+def merge_nodes(nodes: DataFrame, batch: DataFrame, top: int | None = None) -> DataFrame:
     """Upsert by id: the storage key stays, a null scope keeps the stored one, attributes are merge-patched.
 
-    New nodes get the keys after the highest surviving one, in batch order.
+    New nodes get the keys after the highest surviving one, in batch order. With ``top``, that key, ``nodes`` may be just
+    the stored nodes whose ids are in the batch.
     """
-    top = nodes.agg(F.coalesce(F.max("node_key"), F.lit(0))).first()[0]
+    if top is None:
+        top = nodes.agg(F.coalesce(F.max("node_key"), F.lit(0))).first()[0]
     new = batch.select(*(F.col(c).alias(f"b_{c}") for c in ("id", "scope_id", "kind", "name", "content", "attributes")), "pos")
     joined = nodes.join(new, nodes.id == new.b_id, "left")
     hit = F.col("b_id").isNotNull()

@@ -186,14 +186,14 @@ def search_candidates(spark, d):
 
 def search_ivf_full_probe(spark, d):
     nodes, vectors = _nodes(spark, d), _embeddings(spark, d)
-    centroids, cells = V.build_index(vectors, _DIMENSIONS)
-    return _hits(V.ivf_topk(nodes, vectors, cells, centroids, _query_vector(spark, d), 10, probes=len(centroids), precision="double"))
+    centroids, cells, _ = V.build_index(vectors, _DIMENSIONS)
+    return _hits(V.ivf_topk(nodes, cells, centroids, _query_vector(spark, d), 10, probes=len(centroids), precision="double"))
 
 
 def search_ivf(spark, d):
     nodes, vectors = _nodes(spark, d), _embeddings(spark, d)
-    centroids, cells = V.build_index(vectors, _DIMENSIONS)
-    return _hits(V.ivf_topk(nodes, vectors, cells, centroids, _query_vector(spark, d), 10, precision="double"))
+    centroids, cells, _ = V.build_index(vectors, _DIMENSIONS)
+    return _hits(V.ivf_topk(nodes, cells, centroids, _query_vector(spark, d), 10, precision="double"))
 
 
 def vector_validate(spark, d):

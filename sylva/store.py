@@ -1,8 +1,12 @@
 """The store: versioned Parquet tables that change together, under one manifest.
 
-A commit writes the changed tables beside the old ones and then replaces the manifest; that replacement is the only
-commit point, so a writer that dies leaves the old state. Readers resolve the manifest at every call and use that
-state throughout the call. The folder must be on a file system that all executors share.
+A table is a list of segments. The first holds rows; later ones hold rows that replace those of equal keys and keys
+that are gone, as the commits brought them, and are laid over it on reading. So a commit writes what it changes, not the
+table; segments are merged as they pile up. The index of vectors is kept in the same way.
+
+A commit writes new segments beside the old ones and then replaces the manifest; that replacement is the only commit
+point, so a writer that dies leaves the old state. Readers resolve the manifest at every call and use that state
+throughout the call. The folder must be on a file system that all executors and the driver share as a mounted one.
 """
 
 from __future__ import annotations
@@ -15,12 +19,23 @@ import uuid
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sylva import model as M
 from sylva.functions import json as J
 from sylva.operators import diagnostics, reads, search as vs, traverse as bfs, writes
 from sylva.plans.planner import choose
+from sylva.runtime import Scratch
+
+
+CELLS = T.StructType([T.StructField("node_key", T.LongType()), T.StructField("cell", T.IntegerType()), T.StructField("vector", T.ArrayType(T.FloatType()))])
+_TABLES = M.TABLES | {"cells": CELLS}
+_KEYS = {
+    "nodes": ["node_key"], "edges": ["id"], "scopes": ["id"], "embeddings": ["node_key"],
+    "catalog": ["record_namespace", "record_key"], "cells": ["node_key"],
+}
+#: The index is made anew once it holds so many times the vectors that its cells were made for.
+GROWN = 4
 
 
 @dataclass(frozen=True)
@@ -63,6 +78,26 @@ def _writing(method):
     return guarded
 
 
+def _live(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_gone", F.lit(False))
+
+
+def _over(rows: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with those of ``delta`` (with ``_gone``) in the place of rows of equal keys; Spark broadcasts a small delta."""
+    columns = [c for c in rows.columns if c in delta.columns]
+    kept = rows.join(delta.select(*keys), keys, "left_anti").select(*columns)
+    return kept.union(delta.where("not _gone").select(*columns))
+
+
+def _sync(folder: str) -> None:
+    """Puts a folder's files and entries on disk; the file system must be a mounted one."""
+    for at, _, files in os.walk(folder):
+        for name in [*files, ""]:
+            handle = os.open(os.path.join(at, name), os.O_RDONLY)
+            os.fsync(handle)
+            os.close(handle)
+
+
 class Store:
     def __init__(self, spark: SparkSession, options: StoreBuilder):
         if options.dimensions <= 0:
@@ -150,35 +185,82 @@ class Store:
             os.fsync(folder)
             os.close(folder)
 
+    def _read(self, name: str, segment: dict, delta: bool) -> DataFrame:
+        fields = [*_TABLES[name].fields, *(T.StructField(c, T.StringType()) for c in segment["keys"])]
+        schema = T.StructType(fields + [T.StructField("_gone", T.BooleanType())] * delta)
+        return self.spark.read.schema(schema).parquet(os.path.join(self.options.path, segment["at"]))
+
+    def _newest(self, name: str, segments: list[dict]) -> DataFrame:
+        """Of all rows of later segments the last of each key, with ``_gone`` where the key was deleted."""
+        parts = [self._read(name, x, True).withColumn("_seq", F.lit(k)) for k, x in enumerate(segments)]
+        shared = [c for c in parts[0].columns if all(c in p.columns for p in parts)]
+        rows = parts[0].select(*shared)
+        if len(parts) == 1:
+            return rows.drop("_seq")
+        for more in parts[1:]:
+            rows = rows.union(more.select(*shared))
+        kept = [c for c in shared if c != "_seq"]
+        return rows.groupBy(*_KEYS[name]).agg(F.max_by(F.struct(*kept), "_seq").alias("_r")).select("_r.*")
+
+    def _view(self, name: str, segments: list[dict]) -> DataFrame:
+        """The live rows of a table: its first segment, with later ones laid over it by key."""
+        if not segments:
+            return self.spark.createDataFrame([], _TABLES[name])
+        first = self._read(name, segments[0], False)
+        return first if len(segments) == 1 else _over(first, self._newest(name, segments[1:]), _KEYS[name])
+
     def _table(self, name: str, manifest: dict | None = None) -> DataFrame:
         manifest = manifest or self._manifest()
-        at = manifest["tables"].get(name)
-        if at is None:
-            df = self.spark.createDataFrame([], M.TABLES[name])
-        else:
-            df = self.spark.read.parquet(os.path.join(self.options.path, at))
-        return df
+        return self._view(name, manifest["tables"].get(name, []))
 
     def _tables(self) -> tuple[dict, dict[str, DataFrame]]:
         manifest = self._manifest()
         return manifest, {name: self._table(name, manifest) for name in M.TABLES}
 
-    def _commit(self, manifest: dict, changed: dict[str, DataFrame], bump: bool = True, streams: dict[str, int] | None = None) -> dict:
-        snapshot = manifest["snapshot"] + 1
-        places = dict(manifest["tables"])
-        for name, df in changed.items():
-            at = f"{name}-{snapshot}-{uuid.uuid4().hex[:8]}"
-            df = df.select(*M.TABLES[name].fieldNames())
-            if name == "nodes":
-                for path in self.options.attribute_paths:
-                    df = df.withColumn(J.key_column(path), J.attribute_key("attributes", path))
-                order = ["scope_id", *(J.key_column(p) for p in self.options.attribute_paths), "kind", "node_key"]
-                df = df.sortWithinPartitions(*order)
-            elif name == "edges":
-                df = df.sortWithinPartitions("source_key", "target_key")
-            df.write.parquet(os.path.join(self.options.path, at))
-            places[name] = at
-        new = manifest | {"snapshot": snapshot, "tables": places, "generation": manifest["generation"] + bump}
+    def _write(self, name: str, rows: DataFrame) -> dict:
+        """One new segment, sorted for pruning and, with full durability, on disk when this returns."""
+        at = f"{name}-{uuid.uuid4().hex}"
+        keys = [J.key_column(p) for p in self.options.attribute_paths] if name == "nodes" else []
+        for path, column in zip(self.options.attribute_paths, keys):
+            rows = rows.withColumn(column, J.attribute_key("attributes", path))
+        columns = [*_TABLES[name].fieldNames(), *keys, *(["_gone"] if "_gone" in rows.columns else [])]
+        order = {"nodes": ["scope_id", *keys, "kind", "node_key"], "edges": ["source_key", "target_key"], "cells": ["cell"]}.get(name)
+        rows = rows.select(*columns)
+        if order:
+            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        folder = os.path.join(self.options.path, at)
+        rows.write.parquet(folder)
+        if self.options.durability_level is M.Durability.FULL:
+            _sync(folder)
+        segment = {"at": at, "keys": keys}
+        return segment | {"rows": self._read(name, segment, "_gone" in rows.columns).count()}
+
+    def _append(self, name: str, segments: list[dict], delta: DataFrame | dict) -> list[dict]:
+        """The segments with one more, ``delta`` being rows with ``_gone`` or a segment already written.
+
+        Later segments are merged so that each is at least twice as large as all after it together: there are as many
+        as the logarithm of the table's size, and a row is written again as often, whatever the number of commits.
+        """
+        new = self._write(name, delta) if isinstance(delta, DataFrame) else delta
+        if not new["rows"]:
+            return segments
+        if not segments:
+            return [self._write(name, self._read(name, new, True).where("not _gone").drop("_gone", *new["keys"]))]
+        segments = [*segments, new]
+        k = len(segments) - 1
+        while k and segments[k - 1]["rows"] < 2 * sum(x["rows"] for x in segments[k:]):
+            k -= 1
+        if k == len(segments) - 1:
+            return segments
+        merged = self._view(name, segments) if k == 0 else self._newest(name, segments[k:])
+        return [*segments[:k], self._write(name, merged)]
+
+    def _commit(self, manifest: dict, changed: dict, bump: bool = True, streams: dict[str, int] | None = None, **more) -> dict:
+        """Publishes the manifest with the rows of ``changed`` (with ``_gone``) added to their tables."""
+        tables = dict(manifest["tables"])
+        for name, delta in changed.items():
+            tables[name] = self._append(name, tables.get(name, []), delta)
+        new = manifest | {"tables": tables, "snapshot": manifest["snapshot"] + 1, "generation": manifest["generation"] + bump} | more
         if streams:
             new["streams"] = manifest.get("streams", {}) | streams
         self._publish(new)
@@ -192,29 +274,36 @@ class Store:
         return bool(index) and index["generation"] == manifest["generation"]
 
     def _index_parts(self, manifest: dict) -> tuple[np.ndarray, DataFrame]:
-        at = os.path.join(self.options.path, manifest["index"]["at"])
-        return np.load(os.path.join(at, "centroids.npy")), self.spark.read.schema("node_key long, cell int").parquet(os.path.join(at, "cells"))
+        index = manifest["index"]
+        return np.load(os.path.join(self.options.path, index["at"], "centroids.npy")), self._view("cells", index["cells"])
 
-    def _refresh_index(self, before: dict | None, changed_keys: DataFrame | None = None, removed_keys: DataFrame | None = None) -> bool:
-        """Brings the index to the present generation: changed vectors only if it was current before, else from all.
-        A failure leaves search exact and never undoes the commit."""
+    def _refresh_index(self, before: dict | None, changed: DataFrame | None = None, removed: DataFrame | None = None) -> bool:
+        """Brings the index to the present generation: if it was current before, by the changed vectors (``node_key,
+        vector``) and removed keys alone, else, or once it holds ``GROWN`` times the vectors that its cells were made
+        for, from all. A failure leaves search exact and never undoes the commit."""
         manifest = self._manifest()
         try:
-            embeddings = self._table("embeddings", manifest)
-            if before is not None and self._index_current(before) and (changed_keys is not None or removed_keys is not None):
-                centroids, cells = self._index_parts(before)
-                gone = changed_keys if removed_keys is None else removed_keys
-                new = cells.join(gone, "node_key", "left_anti")
-                if changed_keys is not None:
-                    valid = embeddings.join(changed_keys, "node_key", "left_semi")
-                    new = new.union(vs.assign_cells(valid, centroids))
-            else:
-                centroids, new = vs.build_index(embeddings, self.options.dimensions)
-            at = f"index-{manifest['snapshot']}-{uuid.uuid4().hex[:8]}"
-            folder = os.path.join(self.options.path, at)
-            new.write.parquet(os.path.join(folder, "cells"))
-            np.save(os.path.join(folder, "centroids.npy"), centroids)
-            self._publish(manifest | {"index": {"at": at, "generation": manifest["generation"]}})
+            index = None
+            if before is not None and self._index_current(before):
+                index = dict(before["index"])
+                centroids = np.load(os.path.join(self.options.path, index["at"], "centroids.npy"))
+                for rows in (changed, removed):
+                    if rows is not None:
+                        live = vs.assign_cells(vs.indexable(rows, self.options.dimensions), centroids) if rows is changed else None
+                        keys = rows.select("node_key") if live is None else rows.select("node_key").join(live.select("node_key"), "node_key", "left_anti")
+                        gone = keys.select("node_key", F.lit(None).cast("int").alias("cell"), F.lit(None).cast("array<float>").alias("vector"), F.lit(True).alias("_gone"))
+                        index["cells"] = self._append("cells", index["cells"], gone if live is None else live.withColumn("_gone", F.lit(False)).union(gone))
+                if sum(x["rows"] for x in index["cells"]) > GROWN * max(index["fitted"], 1_000):
+                    index = None
+            if index is None:
+                centroids, cells, n = vs.build_index(self._table("embeddings", manifest), self.options.dimensions)
+                at = f"index-{uuid.uuid4().hex}"
+                os.makedirs(os.path.join(self.options.path, at))
+                np.save(os.path.join(self.options.path, at, "centroids.npy"), centroids)
+                if self.options.durability_level is M.Durability.FULL:
+                    _sync(os.path.join(self.options.path, at))
+                index = {"at": at, "fitted": n, "cells": self._append("cells", [], cells.withColumn("_gone", F.lit(False)))}
+            self._publish(manifest | {"index": index | {"generation": manifest["generation"]}})
             return True
         except Exception:
             self._publish(self._manifest() | {"index": None})
@@ -228,7 +317,7 @@ class Store:
         manifest, t = self._tables()
         if t["scopes"].where(F.col("scope_key") == key).isEmpty():
             new = reads.register_scopes(t["scopes"], self.spark.createDataFrame([(0, key)], "pos int, scope_key string"))
-            self._commit(manifest, {"scopes": new}, bump=False)
+            self._commit(manifest, {"scopes": _live(new.where(F.col("scope_key") == key))}, bump=False)
         return self.scope_by_key(key)
 
     def scope_by_key(self, key: str) -> DataFrame:
@@ -306,18 +395,18 @@ class Store:
                 raise M.IndexUnavailable("the index is not current")
             manifest = self._manifest()
             centroids, cells = self._index_parts(manifest)
-            hits = vs.ivf_topk(t["nodes"], t["embeddings"], cells, centroids, query, limit, where, probes)
+            hits = vs.ivf_topk(t["nodes"], cells, centroids, query, limit, where, probes)
         else:
             hits = vs.exact_topk(t["nodes"], t["embeddings"], query, limit, where)
         return M.SearchResults(used, hits)
 
     # Writes
 
-    def _part(self, rows, schema: str) -> DataFrame | None:
+    def _part(self, rows, schema: str, scratch: Scratch, name: str) -> DataFrame | None:
         if rows is None:
             return None
-        if isinstance(rows, DataFrame):
-            return rows if "pos" in rows.columns else rows.withColumn("pos", F.monotonically_increasing_id())
+        if isinstance(rows, DataFrame):  # written once, so that its order is the same in every step
+            return scratch.save(rows if "pos" in rows.columns else rows.withColumn("pos", F.monotonically_increasing_id()), name)
         rows = [(k, *r) for k, r in enumerate(rows)]
         return self.spark.createDataFrame(rows, f"pos long, {schema}") if rows else None
 
@@ -331,40 +420,56 @@ class Store:
 
         ``streams`` records epochs of streams in the same commit, so that a repeated epoch can be told.
         """
-        nodes, edges = self._part(batch.nodes, M.NODE_IN), self._part(batch.edges, M.EDGE_IN)
-        embeddings = self._part(batch.embeddings, M.EMBEDDING_IN)
-        catalog, deletes = self._part(batch.catalog, M.CATALOG_IN), self._part(batch.catalog_deletes, M.CATALOG_KEY_IN)
+        scratch = Scratch(self.spark, "batch")
+        part = lambda rows, schema, name: self._part(rows, schema, scratch, name)
+        nodes, edges = part(batch.nodes, M.NODE_IN, "nodes"), part(batch.edges, M.EDGE_IN, "edges")
+        embeddings = part(batch.embeddings, M.EMBEDDING_IN, "embeddings")
+        catalog, deletes = part(batch.catalog, M.CATALOG_IN, "catalog"), part(batch.catalog_deletes, M.CATALOG_KEY_IN, "deletes")
         writes.validate(nodes=nodes, edges=edges, embeddings=embeddings, catalog=catalog, deletes=deletes, dimensions=self.options.dimensions)
-        if all(part is None for part in (nodes, edges, embeddings, catalog, deletes)):
+        if all(x is None for x in (nodes, edges, embeddings, catalog, deletes)):
             raise M.InvalidInput("the batch is empty")
         manifest, t = self._tables()
-        changed: dict[str, DataFrame] = {}
-        after = t["nodes"].select(*M.NODE.fieldNames())
+        changed, more, vectors = {}, {}, None
+        after, linked = t["nodes"].select(*M.NODE.fieldNames()), t["edges"]
         if nodes is not None:
             scope = t["scopes"].select(F.col("id").alias("scope_id"))
             if unknown := nodes.where("scope_id is not null").join(scope, "scope_id", "left_anti").take(1):
                 raise M.ConstraintViolation(f"unknown scope {unknown[0]['scope_id']}")
-            after = changed["nodes"] = writes.merge_nodes(after, nodes)
+            top = manifest.get("top_key")
+            if top is None:
+                top = after.agg(F.coalesce(F.max("node_key"), F.lit(0))).first()[0]
+            stored = after.join(nodes.select("id"), "id", "left_semi").select(*M.NODE.fieldNames())
+            changed["nodes"] = self._write("nodes", _live(writes.merge_nodes(stored, nodes, top)))
+            new = self._read("nodes", changed["nodes"], True).select(*M.NODE.fieldNames(), "_gone")
+            more["top_key"] = max(top, new.agg(F.max("node_key")).first()[0])
+            after = _over(after, new, ["node_key"])
         if embeddings is not None:
-            changed["embeddings"] = writes.merge_embeddings(after, t["embeddings"], embeddings)
-        linked = t["edges"]
+            none = self.spark.createDataFrame([], M.EMBEDDING)
+            changed["embeddings"] = self._write("embeddings", _live(writes.merge_embeddings(after, none, embeddings)))
+            vectors = self._read("embeddings", changed["embeddings"], True).select("node_key", "vector")
         if edges is not None:
-            keyed = writes.with_keys(after, edges)
+            keyed = scratch.save(writes.with_keys(after, edges), "keyed")
             if crossing := writes.scope_violations(after, keyed).take(1):
                 raise M.InvalidInput(f"edge {crossing[0]['id']} crosses scopes")
-            linked = changed["edges"] = writes.merge_edges(t["edges"], keyed)
+            triple = ["source_key", "relationship", "target_key"]
+            stored = linked.join(keyed.select(*triple).distinct(), triple, "left_semi").select(*M.EDGE.fieldNames())
+            stored = scratch.save(stored.union(linked.join(keyed.select("id"), "id", "left_semi").select(*M.EDGE.fieldNames())).distinct(), "stored")
+            new = scratch.save(writes.merge_edges(stored, keyed), "merged")
+            freed = stored.join(new.select("id"), "id", "left_anti").withColumn("_gone", F.lit(True))
+            delta = _live(new).unionByName(freed)
+            changed["edges"], linked = delta, _over(linked, delta, ["id"])
         if nodes is not None:
             touched = after.join(nodes.select("id"), "id", "left_semi").select("node_key")
             if crossing := writes.scope_violations(after, linked, touched).take(1):
                 raise M.InvalidInput(f"edge {crossing[0]['id']} crosses scopes")
         if catalog is not None or deletes is not None:
-            changed["catalog"] = writes.merge_catalog(t["catalog"], catalog, deletes)
-        new = self._commit(manifest, changed, streams=streams)
-        keys = None
-        if embeddings is not None:
-            keys = self._nodes().join(embeddings.select(F.col("node_id").alias("id")), "id", "left_semi").select("node_key")
-        nothing = self.spark.createDataFrame([], "node_key long")
-        ready = self._refresh_index(manifest, keys if keys is not None else nothing)
+            columns = M.CATALOG.fieldNames()
+            rows = [] if catalog is None else [_live(catalog.select(*columns))]
+            rows += [] if deletes is None else [deletes.withColumns({"record_value": F.lit(None).cast("string"), "_gone": F.lit(True)}).select(*columns, "_gone")]
+            changed["catalog"] = rows[0] if len(rows) == 1 else rows[0].union(rows[1])
+        new = self._commit(manifest, changed, streams=streams, **more)
+        ready = self._refresh_index(manifest, changed=vectors)
+        scratch.close()
         return M.CommitReceipt(new["generation"], ready)
 
     @_writing
@@ -373,27 +478,33 @@ class Store:
             raise M.InvalidInput("node ids must be given, not blank and distinct")
         manifest, t = self._tables()
         wanted = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        gone = t["nodes"].join(F.broadcast(wanted), "id", "left_semi").select("node_key")
-        n = gone.count()
+        scratch = Scratch(self.spark, "gone")
+        lost = scratch.save(t["nodes"].join(wanted, "id", "left_semi").select(*M.NODE.fieldNames()), "nodes")
+        keys = lost.select("node_key")
+        n = keys.count()
         if not n:
             return M.DeleteReceipt(manifest["generation"], 0, self._index_current(manifest))
-        nodes, edges, embeddings = writes.delete_nodes(t["nodes"], t["edges"], t["embeddings"], wanted)
-        new = self._commit(manifest, {"nodes": nodes, "edges": edges, "embeddings": embeddings})
-        return M.DeleteReceipt(new["generation"], n, self._refresh_index(manifest, removed_keys=gone))
+        ends = [t["edges"].join(keys.withColumnRenamed("node_key", end), end, "left_semi").select(*M.EDGE.fieldNames()) for end in ("source_key", "target_key")]
+        gone = {"nodes": lost, "edges": ends[0].union(ends[1]).distinct(), "embeddings": t["embeddings"].join(keys, "node_key", "left_semi").select("node_key", "vector")}
+        new = self._commit(manifest, {name: rows.withColumn("_gone", F.lit(True)) for name, rows in gone.items()}, top_key=None)
+        ready = self._refresh_index(manifest, removed=keys)
+        scratch.close()
+        return M.DeleteReceipt(new["generation"], n, ready)
 
     @_writing
     def delete_edge(self, id_: str) -> bool:
         manifest, t = self._tables()
-        if t["edges"].where(F.col("id") == id_).isEmpty():
+        lost = t["edges"].where(F.col("id") == id_)
+        if lost.isEmpty():
             return False
-        self._commit(manifest, {"edges": writes.delete_edge(t["edges"], id_)}, bump=False)
+        self._commit(manifest, {"edges": lost.withColumn("_gone", F.lit(True))}, bump=False)
         return True
 
     @_writing
     def clear_embeddings(self) -> int:
         manifest, t = self._tables()
         if n := t["embeddings"].count():
-            self._commit(manifest, {"embeddings": t["embeddings"].limit(0)})
+            self._commit(manifest | {"tables": manifest["tables"] | {"embeddings": []}}, {})
             self._refresh_index(None)
         return n
 
@@ -401,7 +512,7 @@ class Store:
     def truncate(self) -> int:
         manifest, t = self._tables()
         n = t["nodes"].count()
-        self._publish(manifest | {"snapshot": manifest["snapshot"] + 1, "generation": manifest["generation"] + 1, "tables": {}})
+        self._publish(manifest | {"snapshot": manifest["snapshot"] + 1, "generation": manifest["generation"] + 1, "tables": {}, "top_key": 0})
         self._refresh_index(None)
         return n
 
@@ -409,7 +520,8 @@ class Store:
     def vacuum(self) -> int:
         """Deletes table and index folders that the manifest no longer names."""
         manifest = self._manifest()
-        used = {*manifest["tables"].values(), (manifest["index"] or {}).get("at")}
+        index = manifest["index"] or {"at": None, "cells": []}
+        used = {x["at"] for segments in (*manifest["tables"].values(), index["cells"]) for x in segments} | {index["at"]}
         old = [x for x in os.listdir(self.options.path) if os.path.isdir(os.path.join(self.options.path, x)) and x not in used]
         for x in old:
             shutil.rmtree(os.path.join(self.options.path, x))
@@ -427,7 +539,7 @@ class Store:
 
     def verify_integrity(self) -> M.IntegrityReport:
         manifest, t = self._tables()
-        files = all(os.path.isdir(os.path.join(self.options.path, x)) for x in manifest["tables"].values())
+        files = all(os.path.isdir(os.path.join(self.options.path, x["at"])) for segments in manifest["tables"].values() for x in segments)
         if not files:
             return M.IntegrityReport(False, self._index_current(manifest), ["a table's files are missing"])
         found = diagnostics.integrity(t["nodes"], t["edges"], t["embeddings"], t["scopes"], t["catalog"], self.options.dimensions)
