@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sylva.functions.json import is_object
 from sylva.functions.vectors import is_valid
-from sylva.model import Backend, Direction, SearchFilter
+from sylva.model import Backend, Direction, SearchFilter, WriteBatch
 from sylva.operators import diagnostics, reads, search as V, traverse as T, writes as W
 from sylva.plans.planner import choose
+from sylva.runtime import checkpoint_dir
 from sylva.sources.tables import table
+from sylva.store import Store
 
 _NODE = ("node_key", "id", "scope_id", "kind", "name", "content", "attributes")
 _START = "anchor:00000157"
@@ -280,12 +286,52 @@ def edge_delete(spark, d):
     return reads.count(W.delete_edge(_edges(spark, d), "e0000005595"))
 
 
+def _loaded(spark: SparkSession, d: str) -> Store:
+    """A new store in the scratch folder with all nodes whose attributes are objects, unscoped, and all valid vectors of
+    theirs; then every node of kind class is upserted under another name, and all anchors are deleted."""
+    path = os.path.join(checkpoint_dir(spark).removeprefix("file:").replace("//", "/"), f"store-{uuid.uuid4().hex}")
+    store = Store.open(spark, path, _DIMENSIONS)
+    nodes = _nodes(spark, d).where(is_object("attributes"))
+    batch = nodes.select("id", F.lit(None).cast("long").alias("scope_id"), "kind", "name", "content", "attributes", F.col("node_key").alias("pos"))
+    vectors = _embeddings(spark, d).join(nodes.select("node_key", F.col("id").alias("node_id")), "node_key").select("node_id", "vector")
+    store.apply_batch(WriteBatch(nodes=batch, embeddings=vectors))
+    again = batch.where("kind = 'class'").withColumns({"name": F.concat(F.lit("new "), "id"), "attributes": F.lit('{"again":1}')})
+    store.apply_batch(WriteBatch(nodes=again))
+    store.delete_nodes([r["id"] for r in table(spark, d, "anchor_nodes", "id").collect()])
+    return store
+
+
+def store_batches(spark, d):
+    """The nodes of the store after its commits."""
+    with _loaded(spark, d) as store:
+        return store._table("nodes").select("node_key", "id", "kind", "name", F.get_json_object("attributes", "$.again").alias("again"))
+
+
+def store_vectors(spark, d):
+    with _loaded(spark, d) as store:
+        return store._table("embeddings").select("node_key", F.round(F.col("vector")[0].cast("double"), 5).alias("first"))
+
+
+def store_search(spark, d):
+    with _loaded(spark, d) as store:
+        return store.search(_query_vector(spark, d), 10, backend=Backend.EXACT).hits.select("id", F.round(F.col("distance").cast("double"), 4).alias("distance"))
+
+
+def _counted(store: Store) -> DataFrame:
+    stats = store.stats()
+    return store.spark.createDataFrame([(stats.nodes, stats.embeddings, stats.generation)], "nodes long, embeddings long, generation long")
+
+
 def clear_embeddings(spark, d):
-    return diagnostics.stats(_nodes(spark, d), _edges(spark, d), _embeddings(spark, d).limit(0))
+    with _loaded(spark, d) as store:
+        store.clear_embeddings()
+        return _counted(store)
 
 
 def truncate(spark, d):
-    return diagnostics.stats(_nodes(spark, d).limit(0), _edges(spark, d).limit(0), _embeddings(spark, d).limit(0))
+    with _loaded(spark, d) as store:
+        store.truncate()
+        return _counted(store)
 
 
 def catalog_get(spark, d):
@@ -317,7 +363,7 @@ QUERIES = {
         nodes_missing_embedding_count, nodes_count_by_filter, node_count, embedding_count, edges_incident_out, edges_incident_in,
         edges_incident_both, neighbors_one_hop, search_exact_topk, search_exact_filtered, search_candidates, search_ivf_full_probe,
         search_ivf, vector_validate, merge_nodes, merge_edges, merge_embeddings, merge_catalog, scope_violations, batch_validation,
-        delete_cascade, edge_delete, clear_embeddings, truncate, catalog_get, catalog_list_page, store_stats, integrity_report,
+        delete_cascade, edge_delete, store_batches, store_vectors, store_search, clear_embeddings, truncate, catalog_get, catalog_list_page, store_stats, integrity_report,
     )
 } | {
     "traverse_out_3": _traverse(Direction.OUT, None, 3, 100_000),
@@ -392,6 +438,11 @@ SELECT (SELECT count(*) FROM n WHERE node_key NOT IN (SELECT node_key FROM gone)
 (SELECT count(*) FROM e WHERE source_key NOT IN (SELECT node_key FROM gone) AND target_key NOT IN (SELECT node_key FROM gone)) AS edges,
 (SELECT count(*) FROM v WHERE node_key NOT IN (SELECT node_key FROM gone)) AS embeddings"""
 
+_STORE = f"""WITH {_N}, {_V}, kept AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY node_key) AS node_key, node_key AS given, id, kind, name
+  FROM n WHERE json_valid(attributes) AND (CASE WHEN json_valid(attributes) THEN json_type(attributes) END) = 'OBJECT')
+  WHERE id NOT IN (SELECT id FROM anchor_nodes))"""
+_DISTANCE = "1 - list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)))"
+
 ORACLE = {
     "scope_lookup": "SELECT id, scope_key FROM scopes WHERE scope_key = 'team/yearly-granary'",
     "scope_by_id": "SELECT id, scope_key FROM scopes WHERE id = 9",
@@ -461,8 +512,13 @@ UNION ALL SELECT 11, count(*) FROM (SELECT record_key FROM catalog_records GROUP
 UNION ALL SELECT 12, count(*) FROM catalog_records WHERE record_value IS NULL OR NOT json_valid(record_value)) WHERE n > 0""",
     "delete_cascade": _CASCADE,
     "edge_delete": f"WITH {_E} SELECT count(*) AS n FROM e WHERE id <> 'e0000005595'",
-    "clear_embeddings": f"WITH {_N}, {_E} SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, 0 AS embeddings",
-    "truncate": "SELECT 0 AS nodes, 0 AS edges, 0 AS embeddings",
+    "store_batches": f"{_STORE} SELECT node_key, id, kind, CASE WHEN kind = 'class' THEN 'new ' || id ELSE name END AS name, CASE WHEN kind = 'class' THEN '1' END AS again FROM kept",
+    "store_vectors": f"{_STORE} SELECT kept.node_key, round(CAST(vector[1] AS DOUBLE), 5) AS first FROM kept JOIN v ON v.node_key = kept.given",
+    "store_search": f"""{_STORE}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 7),
+s AS (SELECT id, CAST(vector AS DOUBLE[]) AS v FROM kept JOIN v ON v.node_key = kept.given)
+SELECT id, round({_DISTANCE}, 4) AS distance FROM s, q WHERE list_dot_product(v, v) > 0 ORDER BY {_DISTANCE}, id LIMIT 10""",
+    "clear_embeddings": f"{_STORE} SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS embeddings, CAST(4 AS BIGINT) AS generation FROM kept",
+    "truncate": "SELECT CAST(0 AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS embeddings, CAST(4 AS BIGINT) AS generation",
     "catalog_get": f"""WITH {_C} SELECT record_namespace, record_key, record_value FROM c
 WHERE record_namespace = 'build' AND record_key = (SELECT min(record_key) FROM catalog_records WHERE record_namespace = 'build')""",
     "catalog_list_page": f"WITH {_C} SELECT * FROM c WHERE record_namespace = 'review' ORDER BY record_key LIMIT 100 OFFSET 5",

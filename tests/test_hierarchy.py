@@ -39,10 +39,11 @@ CASES = {
     "branching core": [(a, b) for a in range(1, 6) for b in range(1, 6) if a != b] + [(5, 6), (6, 7), (7, 6)],
     "long": [(k, k + 1) for k in range(60)] + [(60, 0)],
     "repeated": [(1, 2), (1, 2), (2, 1)],
-    "ring linked both ways": [(k, (k + 1) % 40) for k in range(40)] + [((k + 1) % 40, k) for k in range(40)] + [(7, 50), (50, 51)],
-    "thick ring": [(k, (k + j) % 60) for k in range(60) for j in (1, 2)],
-    "two dense cores": [(a, b) for base in (0, 20) for a in range(base, base + 6) for b in range(base, base + 6) if (b - a) % 6 in (1, 2)] + [(2, 21), (3, 22)],
-    "directed torus": [(6 * r + c, x) for r in range(6) for c in range(6) for x in (6 * r + (c + 1) % 6, 6 * ((r + 1) % 6) + c)],
+    # side by side: a ring linked both ways, a thick ring, two dense cores with links between them, a directed torus
+    "cores": [(k, (k + 1) % 40) for k in range(40)] + [((k + 1) % 40, k) for k in range(40)] + [(7, 50), (50, 51)]
+    + [(100 + k, 100 + (k + j) % 60) for k in range(60) for j in (1, 2)]
+    + [(a, b) for base in (200, 220) for a in range(base, base + 6) for b in range(base, base + 6) if (b - a) % 6 in (1, 2)] + [(202, 221), (203, 222)]
+    + [(300 + 6 * r + c, 300 + x) for r in range(6) for c in range(6) for x in (6 * r + (c + 1) % 6, 6 * ((r + 1) % 6) + c)],
 }
 
 
@@ -134,6 +135,6 @@ def test_links_tidy_relationships(spark):
 
 def test_rounds_of_rings_do_not_follow_their_length(spark, monkeypatch):
     monkeypatch.setattr(H, "_colour", None)  # would be called for a core that merging does not shrink
-    links = [(k, (k + 1) % 300) for k in range(300)] + [((k + 1) % 300, k) for k in range(300)]
+    links = [(k, (k + 1) % 100) for k in range(100)] + [((k + 1) % 100, k) for k in range(100)]
     found = H.cycle_members(frame(spark, links)).collect()
-    assert {(r.cycle_key, r.node_key) for r in found} == {(0, k) for k in range(300)}
+    assert {(r.cycle_key, r.node_key) for r in found} == {(0, k) for k in range(100)}

@@ -89,6 +89,25 @@ def test_rejected_batches_change_nothing(spark, store):
     assert sorted(r.id for r in store.get_edges("node-0").collect()) == ["e", "e9"]
 
 
+def test_many_commits_keep_few_segments(spark, tmp_path):
+    with StoreBuilder(str(tmp_path / "s"), 8).durability(M.Durability.NORMAL).build(spark) as s:
+        want = {}
+        for turn in range(6):
+            rows = [(f"node-{k}", None, "k", f"{turn}", "", "{}") for k in range(turn, turn + 4)]
+            s.apply_batch(M.WriteBatch(nodes=rows, embeddings=[(r[0], one_hot(turn + k)) for k, r in enumerate(rows)]))
+            want |= {r[0]: f"{turn}" for r in rows}
+            if turn == 3:
+                s.delete_nodes(["node-1", "node-5"])
+                want = {k: v for k, v in want.items() if k not in ("node-1", "node-5")}
+        nodes = s._table("nodes").collect()
+        assert {r.id: r.name for r in nodes} == want and len({r.node_key for r in nodes}) == len(nodes) == s.embedding_count()
+        manifest = s._manifest()
+        assert all(len(x) <= 3 for x in manifest["tables"].values()) and len(manifest["index"]["cells"]) <= 3
+        assert sorted(r.node_key for r in s._index_parts(manifest)[1].collect()) == sorted(r.node_key for r in nodes)
+        assert s.search(one_hot(3), 1, backend=M.Backend.APPROXIMATE).hits.first()["id"] == "node-3"
+        assert s.vacuum() > 0 and s.verify_integrity().is_healthy
+
+
 def test_lock_read_only_and_formats(spark, tmp_path):
     path = str(tmp_path / "s")
     with pytest.raises(M.StorageError):
