@@ -151,8 +151,8 @@ def _binary(data: np.ndarray, width: int) -> pa.Array:
 
 
 def met(records: DataFrame, size: int, least: int) -> DataFrame:
-    """Rows of three kinds: ``key, class, sketch`` of a record; ``a, b``, shortened classes that agree on a band; two
-    blocks of shortened classes of one band, each of the first to be paired with each of the second."""
+    """Rows of three kinds: ``key, class, sketch`` of a record; two lists of shortened classes that agree on a band side
+    by side; two blocks of shortened classes of one band, each of the first to be paired with each of the second."""
     groups = max(4, -(-records.where("key is not null").count() * len(BANDS) // GROUP))
     columns = np.array(BANDS)
     member = np.dtype([("key", "<i8"), ("class", "<u8"), ("sketch", "u1", _SKETCH)])
@@ -224,13 +224,31 @@ def met(records: DataFrame, size: int, least: int) -> DataFrame:
                 both = np.concatenate(held, axis=1)
                 both = both[:, np.lexsort(both)]
                 both = both[:, np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(0)])] if both.shape[1] else both
-                yield _rows(_PAIR, both[0], both[1])
+                none = np.zeros(1, np.int64)
+                yield _rows(_PAIR, none, none, *(pa.array([_shortened(side)], pa.binary()) for side in both))
                 held, n = [], 0
 
     entries = records.where("key is not null").select("key", "text").mapInArrow(bands, "g long, rows binary")
     return entries.groupBy("g").applyInArrow(pairs, _FOUND)
 
 
+def _shortened(classes: np.ndarray) -> bytes:
+    """Five bytes a class."""
+    return np.ascontiguousarray(classes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _listed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b`` of pairs that were written side by side."""
+    for batch in batches:
+        for sides in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
+            wide = []
+            for raw in sides:
+                full = np.zeros((len(raw) // 5, 8), np.uint8)
+                full[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+                wide.append(pa.array(full.view("<i8").ravel()))
+            yield pa.RecordBatch.from_arrays(wide, ["a", "b"])
+
+
 def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``a, b`` with a < b of all pairs across two blocks."""
     for batch in batches:
@@ -278,7 +296,8 @@ def similar_classes(records: DataFrame, size: int, least: int, threshold: float)
     release(spark)  # lets go of the bands' shuffle files before anything else is moved
     members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("class"), F.col("one").alias("sketch"))
     blocks = found.where(F.col("kind") == _BLOCKS).select("one", "two").repartition(spark.sparkContext.defaultParallelism * 4)
-    both = found.where(F.col("kind") == _PAIR).select("a", "b").union(blocks.mapInArrow(_expanded, "a long, b long"))
+    both = found.where(F.col("kind") == _PAIR).select("one", "two").mapInArrow(_listed_pairs, "a long, b long")
+    both = both.union(blocks.mapInArrow(_expanded, "a long, b long"))
     sketch = members.groupBy("class").agg(F.first("sketch").alias("sketch"))
     short = F.shiftrightunsigned("class", _SHORT)
     near = both.repartition("a").distinct()
